@@ -1105,3 +1105,99 @@ pm AS (SELECT c, support, hit, hit / predicted AS precision, hit / support AS re
 def _(spark, sf_dir):
     report = models.classification_report(_predicted(spark, sf_dir), "label")
     return report.select("class", *[F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")], "support")
+
+
+@query("model_scores")
+def _(spark, sf_dir):
+    """Train small models on the labelled view and score the sessions with them."""
+    from wireloom.plans import training
+
+    raw = training_flows(spark, sf_dir).drop("record_id")
+    trained = training.train(raw, trees=5, rounds=2, forest_depth=4)
+    rows = features.session_features(_sessions(spark, sf_dir))
+    scored = batch.score_features(rows, trained.detector)
+    return scored.select(
+        *SESSION_KEY,
+        F.round("ml.score", 6).alias("ml_score"),
+        "ml.dt_prediction",
+        "ml.rf_prediction",
+        "ml.gbt_prediction",
+        F.round("combined_score", 6).alias("combined_score"),
+        "is_anomalous",
+    )
+
+
+@query("feature_importance")
+def _(spark, sf_dir):
+    scaled, _ = _scaled(spark, sf_dir)
+    vectors = models.assemble(scaled, BASE_FEATURES)
+    model = models.train_decision_tree(vectors, "label")
+    return models.feature_importances(model, BASE_FEATURES).withColumn("importance", F.round("importance", 6))
+
+
+@query("grid_search")
+def _(spark, sf_dir):
+    """Cross-validated grid over boosted trees, macro F1 per combination."""
+    scaled, _ = _scaled(spark, sf_dir)
+    vectors = models.assemble(scaled, BASE_FEATURES)
+    tuned = models.tune_boosted_trees(
+        vectors, "record_id", "label", depths=(2, 3), rounds=(2,), steps=(0.1,), folds=3
+    )
+    rows = [
+        (int(p[tuned.getEstimator().maxDepth]), float(m))
+        for p, m in zip(tuned.getEstimatorParamMaps(), tuned.avgMetrics)
+    ]
+    return spark.createDataFrame(rows, "max_depth int, macro_f1 double")
+
+
+SENTINEL_US = 1_704_067_200_000_000 + 86_400_000_000
+STREAM_SQL = sql.EV + sql.sessions()
+
+
+@query(
+    "stream_sessions",
+    _with(
+        STREAM_SQL,
+        f"""SELECT flow_id, session_no, {', '.join(c for c in SCALARS if c not in ('flow_id', 'session_no', 'close_reason'))},
+        array_to_string(http_uris, '|') AS http_uris, array_to_string(dns_answers, '|') AS dns_answers,
+        start_us, end_us, CASE WHEN last_terminal THEN 'terminal' ELSE 'timeout' END AS close_reason,
+        CASE WHEN last_terminal THEN last_us ELSE last_us + 120000000 END AS close_us FROM sess""",
+    ),
+)
+def _(spark, sf_dir):
+    """The events as a stream of files in time order, closed by a last far-off event."""
+    from wireloom.streaming.sessions import EVENT_COLUMNS, stream_sessions
+
+    events = whitelist.apply_whitelist(_events(spark, sf_dir)).select(*EVENT_COLUMNS)
+    source = staging_path(spark, "stream")
+    end = events.orderBy("seq").limit(1).withColumns(
+        {
+            "event_ts": F.timestamp_micros(F.lit(SENTINEL_US)),
+            "flow_id": F.lit("end"),
+            "event_type": F.lit("fileinfo"),
+        }
+    )
+    cut = F.floor((_us("event_ts") - 1_704_067_200_000_000) / 220_000_000)
+    for i in range(3):
+        events.filter(cut == i).coalesce(1).write.mode("append").parquet(source)
+    end.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = staging_path(spark, "stream-out")
+    run = (
+        stream_sessions(stream)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("checkpointLocation", staging_path(spark, "stream-state"))
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    run.awaitTermination()
+    closed = spark.read.parquet(out).filter("flow_id <> 'end'")
+    return closed.select(
+        *SCALARS,
+        F.array_join("http_uris", "|").alias("http_uris"),
+        F.array_join("dns_answers", "|").alias("dns_answers"),
+        _us("start_ts").alias("start_us"),
+        _us("end_ts").alias("end_us"),
+        _us("close_ts").alias("close_us"),
+    )
