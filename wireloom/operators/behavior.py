@@ -4,7 +4,7 @@ Each closed session becomes one point on its source's time line, and every
 window quantity becomes a stream of changes (+ when something enters the
 window, - when it leaves) whose running sum is the quantity. All of them are
 merged into one stream per source and summed in one pass of
-``running.running_totals``, which cuts hot sources into time chunks. The window
+``running.running_totals``, which cuts hot sources into pieces of time. The window
 at a session holds what was seen at times ``t`` with ``now - window < t <= now``.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wireloom.functions.scalars import MICROS, ratio
 from wireloom.operators.running import (
     CHUNK,
+    TARGET_ROWS,
     activity_epochs,
     chunk_start,
     presence_changes,
@@ -28,7 +29,7 @@ from wireloom.sources.staging import materialize
 ERROR_CODES = ["401", "403", "407"]
 FAILED_STATES = ["rejected", "failed"]
 WINDOW_SECONDS = 300
-CHUNK_SECONDS = 30
+CHUNK_SECONDS = 60
 
 APP_COUNTERS = [
     "http_requests", "http_errors", "dns_queries", "dns_failures",
@@ -110,7 +111,7 @@ def observed_sessions(sessions: DataFrame, include_timeout: bool = False) -> Dat
     )
 
 
-def _auth_changes(points: DataFrame, window_us: int, chunk_us: int) -> DataFrame:
+def _auth_changes(points: DataFrame, window_us: int, chunk_us: int, target_rows: int) -> DataFrame:
     """Changes of the largest number of authentication failures any one service has
     in the window.
 
@@ -126,7 +127,7 @@ def _auth_changes(points: DataFrame, window_us: int, chunk_us: int) -> DataFrame
     )
     left = failures.select("src_ip", "service", (F.col("us") + window_us).alias("us"), (-F.col("n")).alias("n"))
     steps = failures.union(left).groupBy("src_ip", "service", "us").agg(F.sum("n").alias("n")).filter("n <> 0")
-    counts = running_totals(steps, ["src_ip", "service"], "us", {"now": "n"}, chunk_us)
+    counts = running_totals(steps, ["src_ip", "service"], "us", {"now": "n"}, chunk_us, target_rows=target_rows)
     was = F.col("now") - F.col("n")
     levels = (
         counts.select(
@@ -140,7 +141,7 @@ def _auth_changes(points: DataFrame, window_us: int, chunk_us: int) -> DataFrame
         .filter("holders <> 0")
     )
     levels = materialize(levels, "levels")
-    held = running_totals(levels, ["src_ip", "level"], "us", {"now": "holders"}, chunk_us)
+    held = running_totals(levels, ["src_ip", "level"], "us", {"now": "holders"}, chunk_us, target_rows=target_rows)
     change = (F.col("now") > 0).cast("bigint") - ((F.col("now") - F.col("holders")) > 0).cast("bigint")
     return (
         held.select("src_ip", "us", change.alias("d_auth"))
@@ -172,6 +173,7 @@ def behavior_timeline(
     include_timeout: bool = False,
     chunk_seconds: float = CHUNK_SECONDS,
     lifetime: bool = True,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """One row per observed session: the state of its source's window at that moment
     and, with ``lifetime``, the totals since the source last came back from a
@@ -203,7 +205,7 @@ def behavior_timeline(
         expiry,
         ips.withColumnRenamed("change", "d_ips"),
         ports.withColumnRenamed("change", "d_ports"),
-        _auth_changes(points, window_us, chunk_us),
+        _auth_changes(points, window_us, chunk_us, target_rows),
     ]
     epochs = None
     if lifetime:
@@ -214,7 +216,14 @@ def behavior_timeline(
         ]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)
     totals = running_totals(
-        materialize(merged, "changes"), ["src_ip"], "us", SLIDING, chunk_us, epochs, LIFETIME if lifetime else None
+        materialize(merged, "changes"),
+        ["src_ip"],
+        "us",
+        SLIDING,
+        chunk_us,
+        epochs,
+        LIFETIME if lifetime else None,
+        target_rows,
     )
     extra = ["epoch", "epoch_start", *LIFETIME] if lifetime else []
     return totals.filter("flow_id is not null").select(

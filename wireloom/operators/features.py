@@ -137,14 +137,13 @@ def app_features(sessions: DataFrame) -> DataFrame:
     return sessions.select(*SESSION_KEY, *[c.alias(n) for n, c in app_feature_columns().items()])
 
 
-def session_features(sessions: DataFrame) -> DataFrame:
+def session_features(sessions: DataFrame, keep: list[str] = SESSION_KEY) -> DataFrame:
     """Flow and application features side by side, the nine flow features first."""
     extra = app_feature_columns()
     wide = sessions.select("*", *[c.alias(f"_f_{n}") for n, c in extra.items()])
-    keep = [*SESSION_KEY, *[f"_f_{n}" for n in extra]]
-    out = flow_features(wide, keep)
+    out = flow_features(wide, [*keep, *[f"_f_{n}" for n in extra]])
     return out.select(
-        *SESSION_KEY, *BASE_FEATURES, "duration_known", *[F.col(f"_f_{n}").alias(n) for n in extra]
+        *keep, *BASE_FEATURES, "duration_known", *[F.col(f"_f_{n}").alias(n) for n in extra]
     )
 
 

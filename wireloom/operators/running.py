@@ -1,11 +1,12 @@
 """Running totals over time that survive hot keys.
 
 A window partitioned by a key puts all rows of that key into one task. Here the
-key's time line is cut into short chunks: the window runs inside
-``(key, chunk)``, and what precedes a chunk arrives as a carry computed from
-one pre-aggregated row per chunk. A key that holds a third of all rows is thus
-spread over as many tasks as it has active chunks, and the only per-key
-sequence left is over chunks, whose number is bounded by the time span.
+key's time line is cut into pieces: the window runs inside ``(key, piece)``, and
+what precedes a piece arrives as a carry computed from one pre-aggregated row
+per piece. Pieces are time chunks of a fixed width; a chunk of a key that holds
+more than ``target_rows`` rows is cut further, by its own row count, so a key
+that holds a third of all rows is spread over as many tasks as its size asks
+for. The only per-key sequence left is over pieces.
 """
 
 from __future__ import annotations
@@ -13,12 +14,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK = "_chunk"
+PIECE = "_piece"
+TARGET_ROWS = 1_000_000
+# the largest cells to cut; the cut list is broadcast, and this bounds its size
+MAX_CUTS = 50_000
 
 
 def chunk_start(us: Column, width_us: int) -> Column:
     return us - F.pmod(us, F.lit(width_us).cast("bigint"))
 
 
+def cut_pieces(
+    df: DataFrame, keys: list[str], us: str, chunk_us: int, target_rows: int = TARGET_ROWS
+) -> DataFrame:
+    """Add ``_chunk`` (start of the row's time chunk) and ``_piece`` (start of its
+    piece). Both order like time within a key. Cells beyond the ``MAX_CUTS``
+    largest stay whole, which costs balance and never changes a result."""
+    rows = df.withColumn(CHUNK, chunk_start(F.coalesce(us, F.lit(0)), chunk_us))
+    cell = [*keys, CHUNK]
+    parts = F.ceil(F.col("_n") / target_rows)
+    cuts = (
+        rows.groupBy(*cell)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > target_rows)
+        .orderBy(F.desc("_n"))
+        .limit(MAX_CUTS)
+        .select(*cell, F.greatest(F.lit(1), F.floor(F.lit(chunk_us) / parts)).alias("_width"))
+    )
+    inside = F.coalesce(us, F.lit(0)) - F.col(CHUNK)
+    piece = F.col(CHUNK) + F.coalesce(inside - F.pmod(inside, F.col("_width")), F.lit(0))
+    return rows.join(F.broadcast(cuts), cell, "left").withColumn(PIECE, piece).drop("_width")
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -27,6 +54,7 @@ def running_totals(
     chunk_us: int,
     epochs: DataFrame | None = None,
     epoch_sums: dict[str, str] | None = None,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Add, for each ``out: source`` pair, the sum of ``source`` over all rows of
     the same key with a time not after this row's (equal times see each other).
@@ -36,18 +64,18 @@ def running_totals(
     """
     epoch_sums = epoch_sums or {}
     both = {**sums, **epoch_sums}
-    cell = [*keys, CHUNK]
-    rows = df.withColumn(CHUNK, chunk_start(F.col(us), chunk_us))
+    cell = [*keys, PIECE]
+    rows = cut_pieces(df, keys, us, chunk_us, target_rows)
     inside = Window.partitionBy(*cell).orderBy(us).rangeBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(*cell).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in both.items()])
+    totals = rows.groupBy(*cell, CHUNK).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in both.items()])
     extra = []
     if epochs is not None:
-        totals = totals.join(epochs, cell, "left")
+        totals = totals.join(epochs, [*keys, CHUNK], "left")
         extra = ["epoch", "epoch_start"]
 
     def before(out: str) -> Column:
         part = [*keys, "epoch"] if out in epoch_sums else keys
-        frame = Window.partitionBy(*part).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        frame = Window.partitionBy(*part).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(f"_t_{out}").over(frame), F.lit(0)).alias(f"_c_{out}")
 
     carry = totals.select(*cell, *extra, *[before(o) for o in both])
@@ -55,7 +83,34 @@ def running_totals(
         rows.withColumns({o: F.coalesce(F.sum(c).over(inside), F.lit(0)) for o, c in both.items()})
         .join(carry, cell)
         .withColumns({o: F.col(o) + F.col(f"_c_{o}") for o in both})
-        .drop(CHUNK, *[f"_c_{o}" for o in both])
+        .drop(CHUNK, PIECE, *[f"_c_{o}" for o in both])
+    )
+
+
+def running_rank(
+    df: DataFrame,
+    keys: list[str],
+    us: str,
+    tie: list[str],
+    chunk_us: int,
+    target_rows: int = TARGET_ROWS,
+    name: str = "rank",
+) -> DataFrame:
+    """Number the rows of each key 1, 2, ... by time and ``tie``."""
+    cell = [*keys, PIECE]
+    rows = cut_pieces(df, keys, us, chunk_us, target_rows)
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy(us, *tie))
+    before = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        rows.groupBy(*cell)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    )
+    return (
+        rows.withColumn("_inside", inside)
+        .join(carry, cell)
+        .withColumn(name, F.col("_inside") + F.col("_before"))
+        .drop(CHUNK, PIECE, "_inside", "_before")
     )
 
 

@@ -150,27 +150,26 @@ def combine(df: DataFrame) -> DataFrame:
     )
 
 
-def result_rows(sessions: DataFrame, scored: DataFrame, bursts: DataFrame | None = None) -> DataFrame:
+def result_rows(scored: DataFrame, bursts: DataFrame | None = None) -> DataFrame:
     """One result per session: identity, totals, scores and the full session.
 
-    ``scored`` carries ``ml``, ``stat``, ``combined_score`` and ``is_anomalous`` by
-    session key. A session at which a burst of empty flows was reported gets the
-    fixed burst result instead.
+    ``scored`` has the session as a struct ``session`` next to ``ml``, ``stat``,
+    ``combined_score`` and ``is_anomalous``. A session at which a burst of empty
+    flows was reported gets the fixed burst result instead.
     """
-    verdicts = scored.select(*SESSION_KEY, "ml", "stat", "combined_score", "is_anomalous")
-    joined = sessions.withColumn("session", F.struct(*sessions.columns)).join(verdicts, SESSION_KEY)
     if bursts is None:
-        joined = joined.withColumns(
+        joined = scored.withColumns(
             {"zero_byte_count": F.lit(None).cast("bigint"), "zero_byte_rate": F.lit(None).cast("double")}
         )
     else:
-        joined = joined.join(
+        joined = scored.join(
             bursts.select(*SESSION_KEY, "zero_byte_count", "zero_byte_rate"), SESSION_KEY, "left"
         )
+    session = F.col("session")
     burst = F.col("zero_byte_count").isNotNull()
 
-    def fixed(name: str, value: Column) -> Column:
-        return F.when(burst, value).otherwise(F.col(name)).alias(name)
+    def fixed(name: str, value: Column, source: Column | None = None) -> Column:
+        return F.when(burst, value).otherwise(F.col(name) if source is None else source).alias(name)
 
     ml_type, stat_type = joined.schema["ml"].dataType, joined.schema["stat"].dataType
 
@@ -180,16 +179,17 @@ def result_rows(sessions: DataFrame, scored: DataFrame, bursts: DataFrame | None
             *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields]
         )
 
-    total_bytes = F.col("total_fwd_bytes") + F.col("total_bwd_bytes")
-    total_packets = F.col("total_fwd_packets") + F.col("total_bwd_packets")
+    total_bytes = session["total_fwd_bytes"] + session["total_bwd_bytes"]
+    total_packets = session["total_fwd_packets"] + session["total_bwd_packets"]
     zero = F.lit(0).cast("bigint")
+    identity = ["src_ip", "src_port", "dst_ip", "dst_port", "proto", "app_proto"]
     return joined.select(
         *SESSION_KEY,
-        F.col("close_ts").alias("timestamp"),
-        "src_ip", "src_port", "dst_ip", "dst_port", "proto", "app_proto",
-        fixed("duration", F.lit(0.0)),
-        F.when(burst, zero).otherwise(total_bytes).alias("total_bytes"),
-        F.when(burst, zero).otherwise(total_packets).alias("total_packets"),
+        session["close_ts"].alias("timestamp"),
+        *[session[c].alias(c) for c in identity],
+        fixed("duration", F.lit(0.0), session["duration"]),
+        fixed("total_bytes", zero, total_bytes),
+        fixed("total_packets", zero, total_packets),
         fixed("ml", burst_struct(ml_type)),
         fixed("stat", burst_struct(stat_type)),
         fixed("combined_score", F.lit(0.8)),

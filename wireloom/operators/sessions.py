@@ -1,9 +1,10 @@
 """Sessions: events of one flow id up to a terminal flow state or a silence.
 
 Everything is one lazy plan over the events. Rows are shuffled once, by
-``(flow_id, time chunk)`` so that a flow id holding a large share of all events
-is spread over many tasks; the state that crosses chunk borders travels as one
-summary row per chunk. Values are deduplicated before they are collected, so a
+``(flow_id, time piece)`` so that a flow id holding a large share of all events
+is spread over many tasks (see ``running``); the state that crosses borders
+travels as one summary row per piece. Several branches read the events, so give
+it a stored table rather than unparsed lines. Values are deduplicated before they are collected, so a
 session row holds its distinct values and never the raw events.
 """
 
@@ -14,7 +15,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wireloom.functions.scalars import MICROS, ratio
-from wireloom.operators.running import CHUNK, chunk_start
+from wireloom.operators.running import CHUNK, PIECE, TARGET_ROWS, cut_pieces
 
 TERMINAL_STATES = ["closed", "established", "fin", "rst"]
 APP_TYPES = ["http", "dns", "tls", "ssh"]
@@ -52,7 +53,8 @@ def number_sessions(
     events: DataFrame,
     gap_seconds: float = 120,
     terminal_states: list[str] = TERMINAL_STATES,
-    chunk_seconds: float = 30,
+    chunk_seconds: float = 60,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Add ``session_no`` (0, 1, ... per flow id), ``us`` and ``terminal`` to each event.
 
@@ -67,8 +69,9 @@ def number_sessions(
             "us": F.unix_micros("event_ts"),
             "terminal": F.coalesce(terminal, F.lit(False)),
         }
-    ).withColumn(CHUNK, chunk_start(F.coalesce("us", F.lit(0)), width))
-    cell = ["flow_id", CHUNK]
+    )
+    rows = cut_pieces(rows, ["flow_id"], "us", width, target_rows)
+    cell = ["flow_id", PIECE]
     inside = Window.partitionBy(*cell).orderBy("us", "seq")
     closes = F.col("terminal").cast("bigint")
     local = F.coalesce(
@@ -80,7 +83,7 @@ def number_sessions(
         F.sum(closes).alias("_closed"),
         F.max(F.struct("us", "seq", "terminal")).alias("_tail"),
     )
-    chunks = Window.partitionBy("flow_id").orderBy(CHUNK)
+    chunks = Window.partitionBy("flow_id").orderBy(PIECE)
     tail = F.lag("_tail").over(chunks)
     timed_out = ((F.col("_first") - tail["us"]) > gap_us) & ~tail["terminal"]
     carry = (
@@ -98,7 +101,7 @@ def number_sessions(
         rows.withColumn("_local", local)
         .join(carry, cell)
         .withColumn("session_no", F.col("_base") + F.col("_local"))
-        .drop("_base", "_local", CHUNK)
+        .drop("_base", "_local", CHUNK, PIECE)
     )
 
 
@@ -126,8 +129,9 @@ def sessionize(
     events: DataFrame,
     gap_seconds: float = 120,
     terminal_states: list[str] = TERMINAL_STATES,
-    chunk_seconds: float = 30,
+    chunk_seconds: float = 60,
     log_end: datetime.datetime | None = None,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """One row per session.
 
@@ -136,7 +140,7 @@ def sessionize(
     at the end of the log). Identity comes from the first event, state and
     counters from the last flow event, lists keep first-seen order.
     """
-    numbered = number_sessions(events, gap_seconds, terminal_states, chunk_seconds)
+    numbered = number_sessions(events, gap_seconds, terminal_states, chunk_seconds, target_rows)
     at = [F.col("us"), F.col("seq")]
     is_flow = F.col("event_type") == "flow"
     numbered = numbered.withColumn("item", F.explode(_values()))

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wireloom.functions.scalars import ipv4_number, port_or_zero
+from wireloom.sources.staging import materialize
 
 # --- fixed values: addresses trusted by default ---
 DNS_SERVERS = (
@@ -150,12 +151,13 @@ def extend_whitelist(rules: DataFrame, extra: DataFrame) -> DataFrame:
     return rules.unionByName(extra).distinct()
 
 
-def drop_whitelisted(events: DataFrame, rules: DataFrame) -> DataFrame:
+def drop_whitelisted(events: DataFrame, rules: DataFrame, broadcast_limit: int = 500_000) -> DataFrame:
     """``apply_whitelist``'s destination test against a rule table.
 
     The distinct destinations are matched (few against the events, and
-    deduplicated map-side), then removed by an anti join on the destination
-    whose side is chosen by Spark from its measured size.
+    deduplicated map-side) and stored, then removed by an anti join on the
+    destination: broadcast when there are at most ``broadcast_limit`` of them,
+    otherwise shuffled, with Spark splitting skewed event partitions.
     """
     port = port_or_zero(F.col("dst_port"))
     target = ["dst_ip", "_port", "proto"]
@@ -182,7 +184,11 @@ def drop_whitelisted(events: DataFrame, rules: DataFrame) -> DataFrame:
         .filter(fits)
         .select(*target)
     )
-    hits = by_address.union(by_range).distinct().withColumnsRenamed({c: f"_h{c}" for c in target})
+    hits = materialize(
+        by_address.union(by_range).distinct().withColumnsRenamed({c: f"_h{c}" for c in target}), "hits"
+    )
+    if hits.count() <= broadcast_limit:
+        hits = F.broadcast(hits)
     same = (
         (F.col("dst_ip") == F.col("_hdst_ip"))
         & (F.col("_port") == F.col("_h_port"))

@@ -38,13 +38,18 @@ def score_features(features: DataFrame, detector: Detector) -> DataFrame:
     return scoring.combine(scoring.score_statistical(scored, detector.baseline, detector.scaler))
 
 
+def score_sessions(sessions: DataFrame, detector: Detector) -> DataFrame:
+    """Score each session within its own row; the session travels along as a struct."""
+    whole = sessions.withColumn("session", F.struct(*sessions.columns))
+    return score_features(session_features(whole, [*SESSION_KEY, "session"]), detector)
+
+
 def detect(
     sessions: DataFrame, detector: Detector, burst_count: int = 3, burst_rate: float = 1.0
 ) -> DataFrame:
     """Results of the given (closed) sessions, bursts of empty flows included."""
-    scored = score_features(session_features(sessions), detector)
     bursts = zero_byte.zero_byte_bursts(sessions, burst_count, burst_rate)
-    return scoring.result_rows(sessions, scored, bursts)
+    return scoring.result_rows(score_sessions(sessions, detector), bursts)
 
 
 def analyze_events(

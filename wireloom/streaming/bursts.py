@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wireloom.functions.scalars import MICROS
+from wireloom.functions.shipping import ship
 from wireloom.operators.sessions import SESSION_KEY
 from wireloom.operators.zero_byte import BURST_KEY, ZERO_SPAN_US, zero_byte_sessions
 
+ship(__name__)
+
 STATE = "count bigint, first_us bigint, last_us bigint"
 OUTPUT = (
     "flow_id string, session_no bigint, src_ip string, dst_ip string, dst_port int, proto string, "

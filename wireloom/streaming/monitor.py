@@ -9,10 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wireloom.functions.scalars import MICROS
 from wireloom.operators import alerts, behavior, normalize, scoring
-from wireloom.operators.features import session_features
 from wireloom.operators.sessions import session_metrics
 from wireloom.operators.whitelist import TrustedServices, apply_whitelist
-from wireloom.plans.batch import Detector, score_features, status_report
+from wireloom.plans.batch import Detector, score_sessions, status_report
 from wireloom.sources.events import stream_events
 from wireloom.sources.sinks import write_alerts, write_results
 from wireloom.streaming.bursts import stream_bursts
@@ -75,8 +74,7 @@ def score_batch(
     batch: DataFrame, recent: DataFrame, detector: Detector, window_seconds: float = behavior.WINDOW_SECONDS
 ) -> tuple[DataFrame, DataFrame]:
     """(results, latest behaviour scores) of one micro-batch of closed sessions."""
-    scored = score_features(session_features(batch), detector)
-    results = scoring.result_rows(batch, scored)
+    results = scoring.result_rows(score_sessions(batch, detector))
     timeline = behavior.behavior_timeline(recent, window_seconds)
     sources = behavior.behavior_scores(timeline, window_seconds)
     vectors = behavior.behavior_features(sources, window_seconds)
