@@ -38,22 +38,24 @@ def has_coverage(df: DataFrame, required: list[str], share: float = MIN_COVERAGE
 
 def scaled_value(
     feature: str, scaler: dict[str, tuple[float, float]], has_duration_flag: bool, round_integers: bool = True
-) -> Column:
-    """The scaled feature, rounded half-even where the raw value is an integer."""
-    value = F.col(feature).cast("double")
+) -> str:
+    """SQL for the scaled feature, rounded half-even where the raw value is an integer."""
     if feature not in scaler:
-        return value
+        return f"cast({feature} as double)"
     mean, std = scaler[feature]
-    scaled = (value - F.lit(mean)) / F.lit(std)
-    if not round_integers:
-        return scaled
-    if feature in INTEGER_FEATURES:
-        return F.bround(scaled, 0)
+    scaled = f"(cast({feature} as double) - {_literal(mean)}) / {_literal(std)}"
+    whole = "true" if feature in INTEGER_FEATURES else None
     if feature == "down_up_ratio":  # an integer 0 where nothing was sent
-        return F.when(F.col("total_fwd_bytes") <= 0, F.bround(scaled, 0)).otherwise(scaled)
-    if feature == "duration" and has_duration_flag:
-        return F.when(F.col("duration_known") == 0, F.bround(scaled, 0)).otherwise(scaled)
-    return scaled
+        whole = "total_fwd_bytes <= 0"
+    elif feature == "duration" and has_duration_flag:
+        whole = "duration_known = 0"
+    if not round_integers or whole is None:
+        return scaled
+    return f"if({whole}, bround({scaled}, 0), {scaled})"
+
+
+def _literal(value: float) -> str:
+    return f"double('{float(value)!r}')"
 
 
 def score_statistical(
@@ -62,65 +64,46 @@ def score_statistical(
     scaler: dict[str, tuple[float, float]] | None = None,
     round_integers: bool = True,
 ) -> DataFrame:
-    """Add ``stat``: score, verdict and the deviating features, strongest first."""
+    """Add ``stat``: score, verdict and the deviating features, strongest first.
+
+    The baseline has one entry per feature and is folded into the plan.
+    """
     present = [c for c in BASE_FEATURES if c in df.columns]
     if not baseline or not present:
         return df.withColumn("stat", F.expr(NEUTRAL_STAT))
     flag = "duration_known" in df.columns
     checked = [c for c in present if c in baseline]
-    valued = df.withColumns(
-        {f"_v_{c}": scaled_value(c, scaler or {}, flag, round_integers) for c in checked}
-    )
-    zs, outliers = {}, {}
-    for c in checked:
-        stats, v = baseline[c], F.col(f"_v_{c}")
-        std, iqr = stats["std"] or 0.0, stats["iqr"]
-        zs[f"_z_{c}"] = (v - F.lit(stats["mean"])) / F.lit(std) if std > 0 else F.lit(0.0)
-        if iqr > 0:
-            outside = (v < stats["q1"] - IQR_REACH * iqr) | (v > stats["q3"] + IQR_REACH * iqr)
-        else:
-            outside = F.lit(False)
-        outliers[f"_o_{c}"] = outside
-    tested = valued.withColumns({**zs, **outliers})
-
-    def part(c: str) -> Column:
-        z = F.abs(F.col(f"_z_{c}"))
-        strength = F.when(z > 0, z).otherwise(F.lit(1.0)) * FEATURE_WEIGHT.get(c, 1.0)
-        return F.when((z > Z_SCORED) | F.col(f"_o_{c}"), strength).otherwise(F.lit(0.0))
-
-    def detail(i: int, c: str) -> Column:
-        z = F.col(f"_z_{c}")
-        return F.when(
-            (F.abs(z) > Z_REPORTED) | F.col(f"_o_{c}"),
-            F.struct(
-                (-F.abs(z)).alias("rank"),
-                F.lit(i).alias("i"),
-                F.struct(
-                    F.lit(c).alias("feature"),
-                    F.col(f"_v_{c}").alias("value"),
-                    z.alias("z_score"),
-                    F.col(f"_o_{c}").alias("is_outlier"),
-                    F.lit(float(baseline[c]["mean"])).alias("baseline_mean"),
-                    F.lit(float(baseline[c]["std"] or 0.0)).alias("baseline_std"),
-                ).alias("d"),
-            ),
+    values, tests, parts, extremes, details = [], [], [], [], []
+    for i, c in enumerate(checked):
+        stats, v, z, o = baseline[c], f"_v_{c}", f"_z_{c}", f"_o_{c}"
+        mean, std, iqr = stats["mean"], stats["std"] or 0.0, stats["iqr"]
+        values.append(f"{scaled_value(c, scaler or {}, flag, round_integers)} as {v}")
+        tests.append(f"({v} - {_literal(mean)}) / {_literal(std)} as {z}" if std > 0 else f"0.0D as {z}")
+        low, high = _literal(stats["q1"] - IQR_REACH * iqr), _literal(stats["q3"] + IQR_REACH * iqr)
+        tests.append(f"({v} < {low} or {v} > {high}) as {o}" if iqr > 0 else f"false as {o}")
+        weight = FEATURE_WEIGHT.get(c, 1.0)
+        parts.append(
+            f"if(abs({z}) > {Z_SCORED} or {o}, if(abs({z}) > 0, abs({z}), 1.0D) * {_literal(weight)}, 0.0D)"
+        )
+        extremes.append(f"int(abs({z}) > {Z_SCORED})")
+        details.append(
+            f"if(abs({z}) > {Z_REPORTED} or {o}, struct(-abs({z}) as rank, {i} as i, cast(struct('{c}', {v}, {z}, {o}, "
+            f"{_literal(mean)}, {_literal(std)}) as {DETAIL}) as d), null)"
+        )
+    score = f"({' + '.join(parts)}) / {_literal(len(present))}"
+    ordered = f"transform(array_sort(array_compact(array({', '.join(details)}))), x -> x.d)"
+    helpers = [f"_{k}_{c}" for k in "vzo" for c in checked]
+    scored = (
+        df.selectExpr("*", *values)
+        .selectExpr("*", *tests)
+        .selectExpr("*", f"{score} as _score")
+        .selectExpr(
+            "*",
+            f"struct(_score as score, _score > {SCORE_LIMIT} or {' + '.join(extremes)} >= {MIN_EXTREME} "
+            f"as is_anomalous, {ordered} as details) as stat",
         )
-
-    score = sum((part(c) for c in checked), F.lit(0.0)) / F.lit(float(len(present)))
-    extreme = sum((F.abs(F.col(f"_z_{c}")) > Z_SCORED).cast("int") for c in checked)
-    details = F.transform(
-        F.array_sort(F.array_compact(F.array(*[detail(i, c) for i, c in enumerate(checked)]))),
-        lambda x: x["d"].cast(DETAIL),
-    )
-    scored = tested.withColumn("_score", score)
-    stat = F.struct(
-        F.col("_score").alias("score"),
-        ((F.col("_score") > SCORE_LIMIT) | (extreme >= MIN_EXTREME)).alias("is_anomalous"),
-        details.alias("details"),
-    )
-    return scored.withColumn("stat", stat).drop(
-        "_score", *[f"_{k}_{c}" for k in "vzo" for c in checked]
     )
+    return scored.drop("_score", *helpers)
 
 
 def ensemble(df: DataFrame) -> DataFrame:

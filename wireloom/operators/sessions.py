@@ -107,22 +107,18 @@ def number_sessions(
 
 def _values() -> Column:
     """The event's list values as ``(kind, pos, value)``; kind -1 stands for the event itself."""
-    item = "struct<kind:int,pos:int,value:string>"
-    event = F.array(F.struct(F.lit(-1), F.lit(0), F.lit(None).cast("string")).cast(item))
-    scalars, answers = [], None
-    for kind, (name, column) in enumerate(LISTS.items()):
-        if name == "dns_answers":
-            tag = F.lit(kind)
-            answers = F.transform(
-                F.coalesce(F.col(column), F.array().cast("array<string>")),
-                lambda x, i: F.struct(tag, i, x).cast(item),
-            )
-        else:
-            scalars.append(F.struct(F.lit(kind), F.lit(0), F.col(column)).cast(item))
-    present = F.filter(
-        F.concat(F.array(*scalars), answers), lambda x: F.coalesce(x["value"], F.lit("")) != ""
+    kinds = {column: kind for kind, column in enumerate(LISTS.values())}
+    many = kinds.pop("dns_answers")
+
+    def item(kind: int, pos: str, value: str) -> str:
+        return f"named_struct('kind', {kind}, 'pos', {pos}, 'value', cast({value} as string))"
+
+    scalars = ", ".join(item(kind, "0", column) for column, kind in kinds.items())
+    answers = f"transform(coalesce(dns_answers, array()), (x, i) -> {item(many, 'i', 'x')})"
+    return F.expr(
+        f"""concat(array({item(-1, '0', 'null')}),
+            filter(concat(array({scalars}), {answers}), x -> coalesce(x.value, '') <> ''))"""
     )
-    return F.concat(event, present)
 
 
 def sessionize(
@@ -141,33 +137,23 @@ def sessionize(
     counters from the last flow event, lists keep first-seen order.
     """
     numbered = number_sessions(events, gap_seconds, terminal_states, chunk_seconds, target_rows)
-    at = [F.col("us"), F.col("seq")]
-    is_flow = F.col("event_type") == "flow"
-    numbered = numbered.withColumn("item", F.explode(_values()))
-    kind = F.col("item.kind")
-    whole = kind == -1
-
-    def event_only(value: Column, condition: Column | None = None) -> Column:
-        return F.when(whole if condition is None else whole & condition, value)
-
-    identity = F.struct(
-        *at, "src_ip", "src_port", "dst_ip", "dst_port", "proto", (~is_flow).alias("app"), "event_ts"
-    )
-    last_flow = F.struct(*at, "state", "fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes")
-    named_app = is_flow & (F.coalesce("app_proto", F.lit("")) != "")
-    narrow = numbered.select(
+    # each event once (kind -1) and once per value it contributes
+    whole, flow = "item.kind = -1", "item.kind = -1 and event_type = 'flow'"
+    apps = ", ".join(f"'{t}'" for t in APP_TYPES)
+    identity = "us, seq, src_ip, src_port, dst_ip, dst_port, proto, event_type <> 'flow' as app, event_ts"
+    narrow = numbered.withColumn("item", F.explode(_values())).selectExpr(
         *SESSION_KEY,
-        kind.alias("kind"),
-        F.col("item.value").alias("value"),
-        F.when(~whole, F.struct(*at, "item.pos")).alias("seen"),
-        event_only(identity).alias("head"),
-        event_only(F.struct(*at, "terminal")).alias("tail"),
-        event_only(last_flow, is_flow).alias("flow"),
-        event_only(F.struct(*at, "app_proto"), named_app).alias("flow_app"),
-        event_only(F.struct(*at, "event_type"), F.col("event_type").isin(APP_TYPES)).alias("first_app"),
-        event_only(F.coalesce("start_ts", "event_ts"), is_flow).alias("flow_start"),
-        event_only(F.coalesce("end_ts", "event_ts"), is_flow).alias("flow_end"),
-        *[event_only(F.lit(1), F.col("event_type") == t).alias(c) for c, t in COUNTS.items()],
+        "item.kind as kind",
+        "item.value as value",
+        "if(item.kind >= 0, struct(us, seq, item.pos), null) as seen",
+        f"if({whole}, struct({identity}), null) as head",
+        f"if({whole}, struct(us, seq, terminal), null) as tail",
+        f"if({flow}, struct(us, seq, state, fwd_pkts, bwd_pkts, fwd_bytes, bwd_bytes), null) as flow",
+        f"if({flow} and coalesce(app_proto, '') <> '', struct(us, seq, app_proto), null) as flow_app",
+        f"if({whole} and event_type in ({apps}), struct(us, seq, event_type), null) as first_app",
+        f"if({flow}, coalesce(start_ts, event_ts), null) as flow_start",
+        f"if({flow}, coalesce(end_ts, event_ts), null) as flow_end",
+        *[f"if({whole} and event_type = '{t}', 1, null) as {c}" for c, t in COUNTS.items()],
     )
     per_value = narrow.groupBy(*SESSION_KEY, "kind", "value").agg(
         *[F.min(c).alias(c) for c in ("seen", "head", "first_app", "flow_start")],
@@ -178,7 +164,7 @@ def sessionize(
         *[F.max(c).alias(c) for c in ("head", "tail", "flow", "flow_app", "first_app", "flow_start", "flow_end")],
         *[F.sum(c).alias(c) for c in COUNTS],
         *[
-            F.array_sort(F.collect_list(F.when(F.col("kind") == i, F.struct("seen", "value")))).alias(n)
+            F.expr(f"array_sort(collect_list(if(kind = {i}, struct(seen, value), null)))").alias(n)
             for i, n in enumerate(LISTS)
         ],
     )
@@ -213,7 +199,7 @@ def sessionize(
         counter("bwd_pkts").alias("total_bwd_packets"),
         counter("fwd_bytes").alias("total_fwd_bytes"),
         counter("bwd_bytes").alias("total_bwd_bytes"),
-        *[F.transform(n, lambda x: x["value"]).alias(n) for n in LISTS],
+        *[F.col(f"{n}.value").alias(n) for n in LISTS],
         *COUNTS,
         (F.col("flow_event_count") < sum(F.col(c) for c in COUNTS)).alias("has_app_data"),
         F.timestamp_micros("tail.us").alias("last_event_ts"),
