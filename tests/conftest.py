@@ -10,4 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from wireloom.session import local_session
 
-    return local_session(4, "wireloom-tests", "8g")
+    session = local_session(4, "wireloom-tests", "8g")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    return session
