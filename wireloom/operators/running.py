@@ -25,12 +25,21 @@ def chunk_start(us: Column, width_us: int) -> Column:
 
 
 def cut_pieces(
-    df: DataFrame, keys: list[str], us: str, chunk_us: int, target_rows: int = TARGET_ROWS
+    df: DataFrame,
+    keys: list[str],
+    us: str,
+    chunk_us: int,
+    target_rows: int = TARGET_ROWS,
+    total_rows: int | None = None,
 ) -> DataFrame:
     """Add ``_chunk`` (start of the row's time chunk) and ``_piece`` (start of its
     piece). Both order like time within a key. Cells beyond the ``MAX_CUTS``
-    largest stay whole, which costs balance and never changes a result."""
+    largest stay whole, which costs balance and never changes a result. Where
+    ``total_rows`` is known to be small no cell can be large, and the pass that
+    counts them is left out."""
     rows = df.withColumn(CHUNK, chunk_start(F.coalesce(us, F.lit(0)), chunk_us))
+    if total_rows is not None and total_rows <= target_rows:
+        return rows.withColumn(PIECE, F.col(CHUNK))
     cell = [*keys, CHUNK]
     parts = F.ceil(F.col("_n") / target_rows)
     cuts = (
@@ -55,6 +64,7 @@ def running_totals(
     epochs: DataFrame | None = None,
     epoch_sums: dict[str, str] | None = None,
     target_rows: int = TARGET_ROWS,
+    total_rows: int | None = None,
 ) -> DataFrame:
     """Add, for each ``out: source`` pair, the sum of ``source`` over all rows of
     the same key with a time not after this row's (equal times see each other).
@@ -65,7 +75,7 @@ def running_totals(
     epoch_sums = epoch_sums or {}
     both = {**sums, **epoch_sums}
     cell = [*keys, PIECE]
-    rows = cut_pieces(df, keys, us, chunk_us, target_rows)
+    rows = cut_pieces(df, keys, us, chunk_us, target_rows, total_rows)
     inside = Window.partitionBy(*cell).orderBy(us).rangeBetween(Window.unboundedPreceding, 0)
     totals = rows.groupBy(*cell, CHUNK).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in both.items()])
     extra = []
@@ -94,11 +104,12 @@ def running_rank(
     tie: list[str],
     chunk_us: int,
     target_rows: int = TARGET_ROWS,
+    total_rows: int | None = None,
     name: str = "rank",
 ) -> DataFrame:
     """Number the rows of each key 1, 2, ... by time and ``tie``."""
     cell = [*keys, PIECE]
-    rows = cut_pieces(df, keys, us, chunk_us, target_rows)
+    rows = cut_pieces(df, keys, us, chunk_us, target_rows, total_rows)
     inside = F.row_number().over(Window.partitionBy(*cell).orderBy(us, *tie))
     before = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (

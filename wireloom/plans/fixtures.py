@@ -19,9 +19,16 @@ def _pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index)
 
 
+def _spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is spread over them; a large
+    table has more splits than cores and is left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, ts)"
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return _spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select(
         F.col("event_id").alias("e"),
         F.col("user_id").alias("uid"),
         (F.col("user_id") % 10).alias("u"),

@@ -16,7 +16,7 @@ from wireloom.plans import batch, oracles as sql
 from wireloom.plans.fixtures import flow_events, training_flows
 from wireloom.sources.events import read_events
 from wireloom.sources.sinks import result_table
-from wireloom.sources.staging import materialize, staging_path
+from wireloom.sources.staging import materialize, materialize_counted, staging_path
 from wireloom.sources.training import read_training
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,13 +35,18 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _counted_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    return materialize_counted(flow_events(spark, sf_dir), "events")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(flow_events(spark, sf_dir), "events")
+    return _counted_events(spark, sf_dir)[0]
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = whitelist.apply_whitelist(_events(spark, sf_dir))
-    return sessions.session_metrics(sessions.sessionize(events))
+    events, n = _counted_events(spark, sf_dir)
+    kept = whitelist.apply_whitelist(events)
+    return sessions.session_metrics(sessions.sessionize(kept, total_rows=n))
 
 
 def _us(column: str) -> F.Column:
@@ -666,8 +671,9 @@ walk AS (
     ),
 )
 def _(spark, sf_dir):
-    s = materialize(_sessions(spark, sf_dir), "sessions").filter("close_reason <> 'flush'")
-    return zero_byte.zero_byte_bursts(s, max_rate=BURST_RATE).withColumn(
+    s, n = materialize_counted(_sessions(spark, sf_dir), "sessions")
+    closed = s.filter("close_reason <> 'flush'")
+    return zero_byte.zero_byte_bursts(closed, max_rate=BURST_RATE, total_rows=n).withColumn(
         "zero_byte_rate", F.round("zero_byte_rate", 6)
     )
 
@@ -883,7 +889,8 @@ res AS (
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     detector = _detector(spark, sf_dir)
-    _, _, results = batch.analyze_events(_events(spark, sf_dir), detector, burst_rate=BURST_RATE)
+    events, n = _counted_events(spark, sf_dir)
+    _, _, results = batch.analyze_events(events, detector, burst_rate=BURST_RATE, total_rows=n)
     return results
 
 
