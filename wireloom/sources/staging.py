@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -29,14 +29,14 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/wireloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Write ``df`` to the staging folder; return a scan of the written table and
-    its row count, which the write itself observes."""
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the staging folder and return a scan of the written table."""
     path = staging_path(df.sparkSession, name)
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    return materialize_counted(df, name)[0]
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The same with the table's row count, which parquet keeps in its footers."""
+    table = materialize(df, name)
+    return table, table.count()

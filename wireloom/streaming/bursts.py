@@ -12,6 +12,7 @@ from wireloom.functions.scalars import MICROS
 from wireloom.functions.shipping import ship
 from wireloom.operators.sessions import SESSION_KEY
 from wireloom.operators.zero_byte import BURST_KEY, ZERO_SPAN_US, zero_byte_sessions
+from wireloom.streaming import require_rocksdb
 
 ship(__name__)
 
@@ -67,6 +68,7 @@ def stream_bursts(
     watermark: str = "30 seconds",
 ) -> DataFrame:
     """Burst alerts of a stream of closed sessions (batch twin: ``zero_byte_bursts``)."""
+    require_rocksdb(sessions.sparkSession)
     flows = (
         zero_byte_sessions(sessions)
         .withColumn("proto", F.coalesce("proto", F.lit("")))
