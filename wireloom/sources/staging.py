@@ -7,6 +7,7 @@ produced it.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -15,13 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _own_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="wireloom-")
+
+
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder from ``spark.checkpoint.dir``; a temporary one only
-    where the setting is absent (single-machine tests)."""
+    """The shared folder from ``spark.checkpoint.dir``.
+
+    Where it is unset, a session whose driver and tasks are one process (tests)
+    gets a temporary folder; a cluster is refused, because its machines would
+    each see a folder of their own.
+    """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
-        root = tempfile.mkdtemp(prefix="wireloom-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all machines share")
+        root = _own_root(spark.sparkContext.applicationId)
     return root.rstrip("/")
 
 
