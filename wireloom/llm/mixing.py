@@ -142,3 +142,13 @@ def _thresholds(narrow: DataFrame, plan: DataFrame) -> DataFrame:
         .withColumn("mark", nothing)
         .select("source", "source_size", "weight", "target", "whole", "mark")
     )
+
+
+def take(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it, with the
+    columns of ``docs``."""
+    names = {c: unused(docs, f"_own_{i}") for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()])
+    mixed = mix(own, names[key], names[source], names[text], **options)
+    again = mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return again.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wireloom.llm import minhash, mixing, quality
+from wireloom.llm import minhash, mixing, pieces, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,27 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    return found.select("doc_id", *[F.col(f"pii.{c}").alias(c) for c in names])
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number of ids, of them byte pieces, a digest of the ids, and
+    whether decoding gives the text back."""
+    table = pieces.load()
+    decoded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), table))
+    by_byte = F.filter("ids", lambda i: i.isin(table.bytes_ids))
+    return decoded.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"),
+        F.coalesce(F.size(by_byte), F.lit(0)).cast("bigint").alias("n_byte_pieces"),
+        F.sha2(F.concat_ws(" ", F.transform("ids", lambda i: i.cast("string"))).cast("binary"), 256).alias("ids_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4)
     return judged.select(
@@ -34,6 +55,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mixing": op3_mixing,
+    "op6_pii": op6_pii,
+    "op7_sentencepiece": op7_sentencepiece,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 SQL: dict[str, str] = {}
