@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wireloom.llm import minhash, mixing, pieces, pii, quality, url_rules, warc
+from wireloom.llm import embeddings, minhash, mixing, pieces, pii, quality, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return judged.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_pii": op6_pii,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
