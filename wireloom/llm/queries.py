@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wireloom.llm import embeddings, minhash, mixing, pieces, pii, quality, url_rules, warc
+from wireloom.llm import conversations, embeddings, language, minhash, mixing, pieces, pii, quality, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = conversations.link(_table(spark, sf_dir, "conversations"))
+    body = F.coalesce("body", F.lit(""))
+    return linked.select(
+        F.col("conv").alias("conv_id"),
+        "turn",
+        "role",
+        "reply_to",
+        F.col("root").alias("root_turn"),
+        "depth",
+        F.length(body).cast("bigint").alias("body_chars"),
+        F.sha2(body.cast("binary"), 256).alias("body_sha256"),
+    )
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
     kept = F.col("id").eqNullSafe(F.col("component_id"))
@@ -61,6 +76,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(_table(spark, sf_dir, "documents"))
+    return language.identify(_table(spark, sf_dir, "pages"), model).withColumnRenamed("id", "page_id")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4)
     return judged.select(
@@ -72,10 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_pii": op6_pii,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
+    "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 SQL: dict[str, str] = {
