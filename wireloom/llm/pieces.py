@@ -46,6 +46,8 @@ SPACE = "▁"
 #: Pieces in a table at most; the table is broadcast.
 MAX_PIECES = 1_000_000
 BLOCK_CHARS = 48_000_000
+#: Characters of text for each part into which the distinct words are dealt.
+WORD_CHARS = 2_000_000
 LONG = 1024
 UNKNOWN_PENALTY = 10.0
 
@@ -264,8 +266,11 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     )
     pattern = pieces.pattern()
     wanted = dealt.select(F.col(block), F.col(packed)).mapInArrow(_words_of_blocks(pattern, LONG), "block bigint, word string")
-    table_ = segment(wanted.select("word").distinct(), pieces)
-    answered = wanted.join(table_, "word").select("block", "word", "ids")
+    # one deal of the words serves the lattice and the answers; its parts are so small that a part's edges
+    # are sorted in memory
+    by_word = wanted.repartition(max(blocks, math.ceil(total / WORD_CHARS)), "word")
+    words = by_word.groupBy("word").agg(F.min("block").alias("b")).filter("b is not null").select("word")
+    answered = by_word.join(segment(words, pieces), "word").select("block", "word", "ids")
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     names = [*docs.columns, ids]
     assemble = _assembled(pattern, pieces, block, packed, text, names, to_arrow_schema(schema))
