@@ -6,11 +6,12 @@ by 0, 1, 2, ..., gives all coordinates of the signature. Bands of coordinates
 propose pairs, and full shingle sets decide.
 
 Texts with equal sets are one class from the start, and only classes are
-compared. In each bucket every class is first compared with the bucket's least
-class; only where the confirmed links leave a bucket in several components are
-the classes of different components compared with each other, so that a group
-of near copies costs as many comparisons as it has members and no link that
-could join two components is left out.
+compared. In each bucket every class is first compared with one that stands for
+the bucket. Where the confirmed links leave a bucket in several components, its
+classes are compared across components, but only those pairs whose rarest
+shingles allow the similarity, an exact bound. So a group of near copies costs
+about as many comparisons as it has members, and no link that could join two
+components is left out.
 
 Null and empty texts have an empty set and link with nothing. A text with fewer
 than ``k`` words is one shingle, the whole sequence. Rows that share an id are
@@ -143,6 +144,56 @@ def _confirmed(k: int, percent: int):
     return run
 
 
+def _shingle_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, text in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("text")):
+                s = shingle_set(text.as_py(), k)
+                if set_key(s) == node:
+                    n = len(s)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([node] * n, pa.binary()), pa.array([root] * n, pa.binary()), pa.array([n] * n, pa.int64()), pa.array(s.view(np.int64))],
+                        ["node", "root", "n", "shingle"],
+                    )
+
+    return run
+
+
+def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """All pairs of classes in different components that can be similar enough.
+
+    Every class orders its shingles from the rarest on. At the first shingle that
+    a pair has in common, what follows in either bounds the overlap, and two
+    sets of ``n`` and ``m`` shingles need ``percent * (n + m) / (100 + percent)``.
+    Of a group of edited copies, those whose edits alone exceed the difference
+    allowed thus propose nothing, however large the group is.
+    """
+    rows = texts.join(open_, "node").mapInArrow(_shingle_rows(k), "node binary, root binary, n bigint, shingle bigint")
+    rows = materialize(rows, "minhash-shingles")
+    often = materialize(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "minhash-often")
+    # a class's shared shingles, in order; those of its own come before them all
+    ordered = rows.join(often, "shingle").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    placed = (
+        ordered.filter(F.size("s") * 100 >= F.col("n") * percent)
+        .select("node", "root", "n", (F.col("n") - F.size("s")).alias("own"), F.posexplode("s").alias("i", "s"))
+        .select("node", "root", "n", F.col("s.shingle").alias("shingle"), (F.col("n") - F.col("own") - F.col("i")).alias("left"))
+        .filter(F.col("left") * 100 >= F.col("n") * percent)
+    )
+    placed = materialize(placed, "minhash-prefixes")
+    # the smaller of two sets needs more of it
+    small = placed.filter(F.col("left") * (100 + percent) >= F.col("n") * 2 * percent)
+    large = placed.select("shingle", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"), F.col("left").alias("left_b"))
+    need = (F.col("n") + F.col("m")) * percent
+    pairs = small.withColumnRenamed("node", "a").join(large, "shingle").filter(
+        ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
+        & (F.col("root") != F.col("root_b"))
+        & (F.col("n") * 100 >= F.col("m") * percent)
+        & (F.col("left") * (100 + percent) >= need)
+        & (F.col("left_b") * (100 + percent) >= need)
+    )
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The confirmed ones of the candidate pairs ``a, b``."""
     one = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -168,31 +219,26 @@ def near_duplicates(
     )
     classes = signed.filter("node is not null").groupBy("node").agg(F.min("row_hash").alias("row_hash"), F.min("bands").alias("bands"))
     entries = materialize(classes.select("node", "row_hash", F.explode("bands").alias("bucket")), "minhash-buckets")
-    shared = materialize(
-        entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far").select("bucket", "hub"),
-        "minhash-shared",
-    )
-    members = materialize(entries.join(shared, "bucket"), "minhash-members")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = materialize(entries.join(materialize(shared, "minhash-shared"), "bucket"), "minhash-members")
+    # the class in the largest company stands for a bucket: of edited copies, the one the others were made from
+    company = materialize(members.groupBy("node").agg(F.sum("size").alias("company")), "minhash-company")
+    members = materialize(members.join(company, "node"), "minhash-members")
+    hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    members = materialize(members.join(materialize(hubs, "minhash-hubs"), "bucket"), "minhash-members")
     needed = members.select("node", "row_hash").distinct()
     texts = hashed.join(needed, "row_hash").select("node", "text")
     # equal texts of a class are needed once
     texts = materialize(texts.groupBy("node", F.xxhash64("text", F.lit(1)).alias("h")).agg(F.min("text").alias("text")).drop("h"), "minhash-texts")
-    stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = materialize(_links(stars, texts, k, percent), "minhash-links")
     found = materialize(components(links), "minhash-components")
     placed = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     placed = materialize(placed, "minhash-placed")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    mixed = materialize(placed.join(mixed, "bucket", "left_semi"), "minhash-mixed")
-    other = mixed.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    across = (
-        mixed.select("bucket", F.col("node").alias("a"), "root")
-        .join(other, "bucket")
-        .filter("a < b and root <> root_b")
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    mixed = materialize(mixed, "minhash-mixed")
+    open_ = materialize(placed.join(mixed, "bucket", "left_semi").select("node", "root").distinct(), "minhash-open")
+    across = _across(open_, texts, k, percent)
     more = materialize(_links(across, texts, k, percent), "minhash-links")
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "minhash-components")
