@@ -177,7 +177,7 @@ def identify(
         rows = sums(seen.withColumn(column, F.coalesce(column, F.lit("none"))), column).collect()
         total = np.sum([r["p"] for r in rows], axis=0) if rows else np.zeros(n)
         table = {r[column]: [math.log((c + 1) / (t + len(rows) + 1)) for c, t in zip(r["p"], total)] for r in rows}
-        chosen = F.lit(None)
+        chosen = F.lit(None).cast("array<double>")
         for value, logs in table.items():
             at = F.coalesce(F.col(column), F.lit("none")) == value
             chosen = F.when(at, F.array(*[F.lit(x) for x in logs])).otherwise(chosen)
