@@ -58,7 +58,7 @@ def compare(spark, con, name, build, sql, sf) -> tuple[bool, str]:
         only_a = [r for r in a if r not in set(b)][:2]
         only_b = [r for r in b if r not in set(a)][:2]
         return False, f"{note} vs {len(want)}; {sorted(names)}; only spark {only_a}; only sql {only_b}"
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     odd = {n: (t, types[n]) for n, t in df.dtypes if kinds.get(t) != types[n]}
     return True, note + (f"; types {odd}" if odd else "")
 

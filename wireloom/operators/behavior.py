@@ -24,7 +24,7 @@ from wireloom.operators.running import (
     running_totals,
 )
 from wireloom.operators.sessions import SESSION_KEY
-from wireloom.sources.staging import materialize_counted
+from wireloom.sources.staging import materialize
 
 ERROR_CODES = ["401", "403", "407"]
 FAILED_STATES = ["rejected", "failed"]
@@ -112,7 +112,7 @@ def observed_sessions(sessions: DataFrame, include_timeout: bool = False) -> Dat
 
 
 def _auth_changes(
-    points: DataFrame, total: int, window_us: int, chunk_us: int, target_rows: int
+    points: DataFrame, window_us: int, chunk_us: int, target_rows: int
 ) -> DataFrame:
     """Changes of the largest number of authentication failures any one service has
     in the window.
@@ -130,7 +130,7 @@ def _auth_changes(
     left = failures.select("src_ip", "service", (F.col("us") + window_us).alias("us"), (-F.col("n")).alias("n"))
     steps = failures.union(left).groupBy("src_ip", "service", "us").agg(F.sum("n").alias("n")).filter("n <> 0")
     counts = running_totals(
-        steps, ["src_ip", "service"], "us", {"now": "n"}, chunk_us, target_rows=target_rows, total_rows=2 * total
+        steps, ["src_ip", "service"], "us", {"now": "n"}, chunk_us, target_rows=target_rows
     )
     was = F.col("now") - F.col("n")
     levels = (
@@ -144,9 +144,9 @@ def _auth_changes(
         .agg(F.sum("holders").alias("holders"))
         .filter("holders <> 0")
     )
-    levels, n = materialize_counted(levels, "levels")
+    levels = materialize(levels, "levels")
     held = running_totals(
-        levels, ["src_ip", "level"], "us", {"now": "holders"}, chunk_us, target_rows=target_rows, total_rows=n
+        levels, ["src_ip", "level"], "us", {"now": "holders"}, chunk_us, target_rows=target_rows
     )
     change = (F.col("now") > 0).cast("bigint") - ((F.col("now") - F.col("holders")) > 0).cast("bigint")
     return (
@@ -186,7 +186,7 @@ def behavior_timeline(
     silence longer than the window."""
     window_us = int(window_seconds * MICROS)
     chunk_us = min(int(chunk_seconds * MICROS), window_us)
-    points, total = materialize_counted(observed_sessions(sessions, include_timeout), "points")
+    points = materialize(observed_sessions(sessions, include_timeout), "points")
 
     flows = points.select(
         *SESSION_KEY,
@@ -211,7 +211,7 @@ def behavior_timeline(
         expiry,
         ips.withColumnRenamed("change", "d_ips"),
         ports.withColumnRenamed("change", "d_ports"),
-        _auth_changes(points, total, window_us, chunk_us, target_rows),
+        _auth_changes(points, window_us, chunk_us, target_rows),
     ]
     epochs = None
     if lifetime:
@@ -221,7 +221,7 @@ def behavior_timeline(
             _first_in_epoch(with_port, epochs, "dst_port", chunk_us, "l_ports"),
         ]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)
-    changes, n = materialize_counted(merged, "changes")
+    changes = materialize(merged, "changes")
     totals = running_totals(
         changes,
         ["src_ip"],
@@ -231,7 +231,6 @@ def behavior_timeline(
         epochs,
         LIFETIME if lifetime else None,
         target_rows,
-        n,
     )
     extra = ["epoch", "epoch_start", *LIFETIME] if lifetime else []
     return totals.filter("flow_id is not null").select(

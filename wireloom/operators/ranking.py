@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DIGITS = 4
+MAX_CLASSES = 1000
 ORDER, BUCKET = "_order", "_bucket"
 
 
@@ -31,11 +32,12 @@ def _bucket_counts(ordered: DataFrame, label: str) -> DataFrame:
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class; the number of classes is small by nature and checked."""
-    rows = df.groupBy(label).count().limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError(f"{label} has more than 1000 classes")
-    return {r[0]: r[1] for r in rows}
+    """Rows per class. A label has few values by nature; one that has more than
+    ``MAX_CLASSES`` is refused before its values reach the driver."""
+    counts = df.groupBy(label).count()
+    if counts.agg(F.count(F.lit(1)).alias("n")).first()["n"] > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values: it is no class label")
+    return {r[0]: r[1] for r in counts.collect()}
 
 
 def take_per_class(

@@ -4,7 +4,7 @@ A window partitioned by a key puts all rows of that key into one task. Here the
 key's time line is cut into pieces: the window runs inside ``(key, piece)``, and
 what precedes a piece arrives as a carry computed from one pre-aggregated row
 per piece. Pieces are time chunks of a fixed width; a chunk of a key that holds
-more than ``target_rows`` rows is cut further, by its own row count, so a key
+more than ``target_rows`` rows is cut further, by its own row counts, so a key
 that holds a third of all rows is spread over as many tasks as its size asks
 for. The only per-key sequence left is over pieces.
 """
@@ -16,43 +16,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 CHUNK = "_chunk"
 PIECE = "_piece"
 TARGET_ROWS = 1_000_000
-# the largest cells to cut; the cut list is broadcast, and this bounds its size
-MAX_CUTS = 50_000
+#: Steps into which each ``target_rows`` of a large cell are divided before it is cut.
+STEPS = 1024
 
 
 def chunk_start(us: Column, width_us: int) -> Column:
     return us - F.pmod(us, F.lit(width_us).cast("bigint"))
 
 
-def cut_pieces(
-    df: DataFrame,
-    keys: list[str],
-    us: str,
-    chunk_us: int,
-    target_rows: int = TARGET_ROWS,
-    total_rows: int | None = None,
-) -> DataFrame:
+def cut_pieces(df: DataFrame, keys: list[str], us: str, chunk_us: int, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add ``_chunk`` (start of the row's time chunk) and ``_piece`` (start of its
-    piece). Both order like time within a key. Cells beyond the ``MAX_CUTS``
-    largest stay whole, which costs balance and never changes a result. Where
-    ``total_rows`` is known to be small no cell can be large, and the pass that
-    counts them is left out."""
+    piece). Both order like time within a key.
+
+    Cells ``(key, chunk)`` of more than ``target_rows`` rows are counted again in
+    narrow steps of time, more steps the more rows they have, and are cut between
+    steps wherever another ``target_rows`` rows are full; a burst inside a chunk
+    is thus cut as finely as its rows ask for. Equal times stay together.
+    """
     rows = df.withColumn(CHUNK, chunk_start(F.coalesce(us, F.lit(0)), chunk_us))
-    if total_rows is not None and total_rows <= target_rows:
-        return rows.withColumn(PIECE, F.col(CHUNK))
     cell = [*keys, CHUNK]
-    parts = F.ceil(F.col("_n") / target_rows)
-    cuts = (
+    step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(chunk_us) / (F.ceil(F.col("_n") / target_rows) * STEPS)))
+    large = (
         rows.groupBy(*cell)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > target_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_CUTS)
-        .select(*cell, F.greatest(F.lit(1), F.floor(F.lit(chunk_us) / parts)).alias("_width"))
+        .select(*cell, step.alias("_width"))
     )
     inside = F.coalesce(us, F.lit(0)) - F.col(CHUNK)
-    piece = F.col(CHUNK) + F.coalesce(inside - F.pmod(inside, F.col("_width")), F.lit(0))
-    return rows.join(F.broadcast(cuts), cell, "left").withColumn(PIECE, piece).drop("_width")
+    stepped = rows.join(large, cell, "left").withColumn("_step", F.col(CHUNK) + inside - F.pmod(inside, F.col("_width")))
+    counts = stepped.filter("_step is not null").groupBy(*cell, "_step").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*cell).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.withColumn("_full", F.floor(F.coalesce(F.sum("_n").over(upto), F.lit(0)) / target_rows))
+    starts = numbered.select(*cell, "_step", F.min("_step").over(Window.partitionBy(*cell, "_full")).alias("_start"))
+    cut = stepped.join(starts, [*cell, "_step"], "left")
+    return cut.withColumn(PIECE, F.coalesce("_start", CHUNK)).drop("_width", "_step", "_start")
 
 
 def running_totals(
@@ -64,7 +61,6 @@ def running_totals(
     epochs: DataFrame | None = None,
     epoch_sums: dict[str, str] | None = None,
     target_rows: int = TARGET_ROWS,
-    total_rows: int | None = None,
 ) -> DataFrame:
     """Add, for each ``out: source`` pair, the sum of ``source`` over all rows of
     the same key with a time not after this row's (equal times see each other).
@@ -75,7 +71,7 @@ def running_totals(
     epoch_sums = epoch_sums or {}
     both = {**sums, **epoch_sums}
     cell = [*keys, PIECE]
-    rows = cut_pieces(df, keys, us, chunk_us, target_rows, total_rows)
+    rows = cut_pieces(df, keys, us, chunk_us, target_rows)
     inside = Window.partitionBy(*cell).orderBy(us).rangeBetween(Window.unboundedPreceding, 0)
     totals = rows.groupBy(*cell, CHUNK).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in both.items()])
     extra = []
@@ -104,12 +100,11 @@ def running_rank(
     tie: list[str],
     chunk_us: int,
     target_rows: int = TARGET_ROWS,
-    total_rows: int | None = None,
     name: str = "rank",
 ) -> DataFrame:
     """Number the rows of each key 1, 2, ... by time and ``tie``."""
     cell = [*keys, PIECE]
-    rows = cut_pieces(df, keys, us, chunk_us, target_rows, total_rows)
+    rows = cut_pieces(df, keys, us, chunk_us, target_rows)
     inside = F.row_number().over(Window.partitionBy(*cell).orderBy(us, *tie))
     before = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (

@@ -185,8 +185,12 @@ def result_rows(scored: DataFrame, bursts: DataFrame | None = None) -> DataFrame
 
 
 def detection_stats(results: DataFrame, min_duration: float = 0.0) -> DataFrame:
-    """One row of counters over the results."""
+    """One row of counters over the results, as they are before behaviour raises
+    rows: those that behaviour alone made anomalous don't count."""
     burst = F.col("zero_byte_pattern")
+    anomalous = F.col("is_anomalous")
+    if "alert_reason" in results.columns:
+        anomalous = anomalous & (F.coalesce("alert_reason", F.lit("")) != "behavior")
     session = F.col("session")
     empty = (session["total_fwd_bytes"] + session["total_bwd_bytes"]) == 0
     short = (session["duration"] < min_duration) & F.lit(min_duration > 0) & ~burst
@@ -195,8 +199,8 @@ def detection_stats(results: DataFrame, min_duration: float = 0.0) -> DataFrame:
         F.count_if(empty).alias("zero_byte_sessions"),
         F.count_if(short).alias("short_duration_sessions"),
         F.count_if(~burst).alias("analyzed_sessions"),
-        F.count_if(~burst & F.col("is_anomalous")).alias("anomalous_sessions"),
-        F.count_if(F.col("is_anomalous")).alias("alerts_generated"),
+        F.count_if(~burst & anomalous).alias("anomalous_sessions"),
+        F.count_if(anomalous).alias("alerts_generated"),
     )
 
 

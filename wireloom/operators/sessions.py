@@ -55,7 +55,6 @@ def number_sessions(
     terminal_states: list[str] = TERMINAL_STATES,
     chunk_seconds: float = 60,
     target_rows: int = TARGET_ROWS,
-    total_rows: int | None = None,
 ) -> DataFrame:
     """Add ``session_no`` (0, 1, ... per flow id), ``us`` and ``terminal`` to each event.
 
@@ -71,7 +70,7 @@ def number_sessions(
             "terminal": F.coalesce(terminal, F.lit(False)),
         }
     )
-    rows = cut_pieces(rows, ["flow_id"], "us", width, target_rows, total_rows)
+    rows = cut_pieces(rows, ["flow_id"], "us", width, target_rows)
     cell = ["flow_id", PIECE]
     inside = Window.partitionBy(*cell).orderBy("us", "seq")
     closes = F.col("terminal").cast("bigint")
@@ -129,18 +128,16 @@ def sessionize(
     chunk_seconds: float = 60,
     log_end: datetime.datetime | None = None,
     target_rows: int = TARGET_ROWS,
-    total_rows: int | None = None,
 ) -> DataFrame:
     """One row per session.
 
     ``close_reason`` is ``terminal``, ``timeout`` (silent for longer than the gap
     before ``log_end``, by default the last event time) or ``flush`` (still open
     at the end of the log). Identity comes from the first event, state and
-    counters from the last flow event, lists keep first-seen order. ``total_rows``,
-    a known bound on the number of events, saves a pass over small inputs.
+    counters from the last flow event, lists keep first-seen order.
     """
     numbered = number_sessions(
-        events, gap_seconds, terminal_states, chunk_seconds, target_rows, total_rows
+        events, gap_seconds, terminal_states, chunk_seconds, target_rows
     )
     # each event once (kind -1) and once per value it contributes
     whole, flow = "item.kind = -1", "item.kind = -1 and event_type = 'flow'"

@@ -9,12 +9,13 @@ broadcast.
 
 from __future__ import annotations
 
+import ipaddress
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wireloom.functions.scalars import ipv4_number, port_or_zero
+from wireloom.functions.scalars import port_or_zero
 from wireloom.sources.staging import materialize
 
 # --- fixed values: addresses trusted by default ---
@@ -34,25 +35,52 @@ TRUSTED_INTERFACES = ("10.0.0.2",)
 
 OCTET = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
 DOTTED = rf"^{OCTET}(\.{OCTET}){{3}}$"
-RULE_SCHEMA = "kind string, address string, prefix_len int, network bigint, port int, proto string"
+RULE_SCHEMA = "kind string, address string, prefix_len int, network string, port int, proto string"
 
 
-def _bounds(cidr: str) -> tuple[int, int]:
-    address, bits = cidr.split("/")
-    host = 32 - int(bits)
-    number = reduce(lambda n, octet: n * 256 + int(octet), address.split("."), 0)
-    low = (number >> host) << host
-    return low, low + (1 << host) - 1
+def network_of(cidr: str) -> tuple[str, int]:
+    """The address's digits, 8 or 32 hexadecimal ones, with the host part zero; bits of the prefix."""
+    net = ipaddress.ip_network(cidr, strict=False)
+    return net.network_address.packed.hex(), net.prefixlen
+
+
+def hex_address(ip: Column) -> Column:
+    """8 hexadecimal digits of a dotted address, 32 of an IPv6 one; null for other texts."""
+    octets = F.split(ip, r"\.")
+    dotted = F.array_join(F.transform(octets, lambda o: F.lpad(F.lower(F.hex(o.try_cast("bigint"))), 2, "0")), "")
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+    left, right = groups(F.split_part(ip, F.lit("::"), F.lit(1))), groups(F.split_part(ip, F.lit("::"), F.lit(2)))
+    known = F.size(left) + F.size(right)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - known))
+    all_groups = F.concat(left, F.when(ip.contains("::"), zeros).otherwise(F.array().cast("array<string>")), right)
+    colons = F.array_join(F.transform(all_groups, lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    six = ip.contains(":") & (F.size(all_groups) == 8) & ~F.exists(all_groups, lambda g: ~g.rlike("^[0-9A-Fa-f]{1,4}$"))
+    return F.when(ip.rlike(DOTTED), dotted).when(six, colons)
+
+
+def _network(digits: Column, bits: int, width: int) -> Column:
+    """``digits`` with all but the first ``bits`` bits zero; null for addresses of another width."""
+    whole, rest = divmod(bits, 4)
+    parts = [F.substr(digits, F.lit(1), F.lit(whole))]
+    if rest:
+        digit = F.conv(F.substr(digits, F.lit(whole + 1), F.lit(1)), 16, 10).cast("int")
+        size = 1 << (4 - rest)
+        parts.append(F.lower(F.hex((digit - F.pmod(digit, F.lit(size))).cast("bigint"))))
+    return F.when(F.length(digits) == width, F.rpad(F.concat(*parts), width, "0"))
 
 
 def in_range(ip: Column, cidr: str) -> Column:
-    """IPv4 range membership; equality where there is no prefix length.
+    """Range membership; equality where there is no prefix length.
 
-    Decided on the text: whole octets by prefix, a split octet by its range, so
-    that almost every address is rejected by one string comparison.
+    IPv4 is decided on the text: whole octets by prefix, a split octet by its
+    range, so that almost every address is rejected by one string comparison.
+    IPv6 is compared by its digits.
     """
     if "/" not in cidr:
         return ip == cidr
+    if ":" in cidr:
+        network, bits = network_of(cidr)
+        return F.coalesce(_network(hex_address(ip), bits, 32) == network, F.lit(False))
     bits = int(cidr.split("/")[1])
     octets = cidr.split("/")[0].split(".")
     whole, rest = divmod(bits, 8)
@@ -141,8 +169,7 @@ def whitelist_rules(spark: SparkSession, trusted: TrustedServices = TrustedServi
     for kind, address, port, proto in trusted.rows():
         prefix, network = None, None
         if "/" in address:
-            prefix = int(address.split("/")[1])
-            network = _bounds(address)[0]
+            network, prefix = network_of(address)
         rows.append((kind, address, prefix, network, port, proto))
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
@@ -151,19 +178,18 @@ def extend_whitelist(rules: DataFrame, extra: DataFrame) -> DataFrame:
     return rules.unionByName(extra).distinct()
 
 
-def drop_whitelisted(events: DataFrame, rules: DataFrame, broadcast_limit: int = 500_000) -> DataFrame:
+def drop_whitelisted(events: DataFrame, rules: DataFrame) -> DataFrame:
     """``apply_whitelist``'s destination test against a rule table.
 
     The distinct destinations are matched (few against the events, and
-    deduplicated map-side) and stored, then removed by an anti join on the
-    destination: broadcast when there are at most ``broadcast_limit`` of them,
-    otherwise shuffled, with Spark splitting skewed event partitions.
+    deduplicated map-side): by address, and by their network for each prefix
+    length that occurs in the rules. The hits are stored and removed by an anti
+    join on the destination, for which Spark picks the strategy from their size.
     """
     port = port_or_zero(F.col("dst_port"))
     target = ["dst_ip", "_port", "proto"]
     rows = events.withColumn("_port", port)
     targets = rows.filter("_port > 0 and dst_ip is not null").select(*target).distinct()
-    number = ipv4_number(F.col("dst_ip"))
     exact = rules.filter("prefix_len is null").select("address", "port", F.col("proto").alias("_proto"))
     ranges = rules.filter("prefix_len is not null").select(
         "prefix_len", "network", "port", F.col("proto").alias("_proto")
@@ -172,14 +198,18 @@ def drop_whitelisted(events: DataFrame, rules: DataFrame, broadcast_limit: int =
         F.col("_proto").isNull() | F.col("_proto").eqNullSafe(F.col("proto"))
     )
     by_address = targets.join(exact, targets.dst_ip == exact.address).filter(fits).select(*target)
-    prefixes = targets.withColumn("_num", number).filter("_num is not null").withColumn(
-        "_len", F.explode(F.sequence(F.lit(0), F.lit(32)))
-    )
-    size = F.expr("shiftleft(1L, 32 - _len)")
-    prefixes = prefixes.withColumn("_net", F.col("_num") - F.pmod("_num", size))
+    # at most 33 + 129 prefix lengths exist
+    lengths = ranges.select("prefix_len", F.length("network").alias("w")).distinct().collect()
+    networks = [
+        F.struct(F.lit(r["prefix_len"]).alias("len"), _network(F.col("_digits"), r["prefix_len"], r["w"]).alias("net"))
+        for r in lengths
+    ]
+    none = F.array().cast("array<struct<len:int,net:string>>")
+    prefixes = targets.withColumn("_digits", hex_address(F.col("dst_ip"))).filter("_digits is not null")
+    prefixes = prefixes.select(*target, F.explode(F.array(*networks) if networks else none).alias("_p"))
     by_range = (
         prefixes.join(
-            ranges, (prefixes["_len"] == ranges.prefix_len) & (prefixes["_net"] == ranges.network)
+            ranges, (F.col("_p.len") == ranges.prefix_len) & (F.col("_p.net") == ranges.network)
         )
         .filter(fits)
         .select(*target)
@@ -187,8 +217,6 @@ def drop_whitelisted(events: DataFrame, rules: DataFrame, broadcast_limit: int =
     hits = materialize(
         by_address.union(by_range).distinct().withColumnsRenamed({c: f"_h{c}" for c in target}), "hits"
     )
-    if hits.count() <= broadcast_limit:
-        hits = F.broadcast(hits)
     same = (
         (F.col("dst_ip") == F.col("_hdst_ip"))
         & (F.col("_port") == F.col("_h_port"))

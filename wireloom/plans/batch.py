@@ -12,7 +12,7 @@ from wireloom.operators.features import session_features
 from wireloom.operators.sessions import SESSION_KEY, session_metrics, sessionize
 from wireloom.operators.whitelist import TrustedServices, apply_whitelist
 from wireloom.sources.events import read_events
-from wireloom.sources.staging import materialize_counted
+from wireloom.sources.staging import materialize
 
 
 @dataclass
@@ -49,10 +49,9 @@ def detect(
     detector: Detector,
     burst_count: int = 3,
     burst_rate: float = 1.0,
-    total_rows: int | None = None,
 ) -> DataFrame:
     """Results of the given (closed) sessions, bursts of empty flows included."""
-    bursts = zero_byte.zero_byte_bursts(sessions, burst_count, burst_rate, total_rows=total_rows)
+    bursts = zero_byte.zero_byte_bursts(sessions, burst_count, burst_rate)
     return scoring.result_rows(score_sessions(sessions, detector), bursts)
 
 
@@ -63,19 +62,16 @@ def analyze_events(
     gap_seconds: float = 120,
     include_timeout: bool = False,
     burst_rate: float = 1.0,
-    total_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sessions, behaviour vectors, results) of normalised events. Sessions still
     open at the end of the log are in the session table but not scored."""
     kept = apply_whitelist(events, trusted)
-    sessions, n = materialize_counted(
-        session_metrics(sessionize(kept, gap_seconds, total_rows=total_rows)), "sessions"
-    )
+    sessions = materialize(session_metrics(sessionize(kept, gap_seconds)), "sessions")
     closed = sessions.filter(F.col("close_reason") != "flush")
     timeline = behavior.behavior_timeline(closed, include_timeout=include_timeout)
     vectors = behavior.behavior_features(behavior.behavior_scores(timeline))
     results = behavior.escalate(
-        detect(closed, detector, burst_rate=burst_rate, total_rows=n), vectors
+        detect(closed, detector, burst_rate=burst_rate), vectors
     )
     return sessions, vectors, results
 
@@ -83,8 +79,8 @@ def analyze_events(
 def analyze_log(spark: SparkSession, path: str, detector: Detector, **options) -> Analysis:
     raw = read_events(spark, path)
     events = normalize.normalize_events(normalize.drop_flagged(raw))
-    stored, n = materialize_counted(events, "events")
-    sessions, vectors, results = analyze_events(stored, detector, total_rows=n, **options)
+    stored = materialize(events, "events")
+    sessions, vectors, results = analyze_events(stored, detector, **options)
     return Analysis(normalize.line_counts(raw), sessions, vectors, results)
 
 
@@ -108,8 +104,8 @@ def status_report(latest: DataFrame, threshold: float = 0.7, limit: int = 5) ->
     )
 
 
-def flagship(events: DataFrame, limit: int = 10, total_rows: int | None = None) -> DataFrame:
+def flagship(events: DataFrame, limit: int = 10) -> DataFrame:
     """Events to the most suspicious source addresses."""
-    sessions = session_metrics(sessionize(apply_whitelist(events), total_rows=total_rows))
+    sessions = session_metrics(sessionize(apply_whitelist(events)))
     scored = behavior.behavior_scores(behavior.behavior_timeline(sessions, lifetime=False))
     return behavior.top_anomalous_ips(behavior.latest_scores(scored), limit)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from wireloom.operators.behavior import APP_COUNTERS, FEATURES
 from wireloom.operators.features import BASE_FEATURES
 from wireloom.operators.prep import FEATURE_COLUMNS
 from wireloom.operators.sessions import LISTS
-from wireloom.operators.whitelist import TrustedServices, _bounds
+from wireloom.operators.whitelist import TrustedServices
 
 BASE = """
 base AS (
@@ -68,6 +70,11 @@ def _ip_number(ip: str) -> str:
     return f"((({parts[0]} * 256 + {parts[1]}) * 256 + {parts[2]}) * 256 + {parts[3]})"
 
 
+def _bounds(cidr: str) -> tuple[int, int]:
+    net = ipaddress.ip_network(cidr)
+    return int(net[0]), int(net[-1])
+
+
 def _whitelisted() -> str:
     tests = []
     for _, address, port, proto in TrustedServices().rows():

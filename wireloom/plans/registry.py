@@ -16,7 +16,7 @@ from wireloom.plans import batch, oracles as sql
 from wireloom.plans.fixtures import flow_events, training_flows
 from wireloom.sources.events import read_events
 from wireloom.sources.sinks import result_table
-from wireloom.sources.staging import materialize, materialize_counted, staging_path
+from wireloom.sources.staging import materialize, staging_path
 from wireloom.sources.training import read_training
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,18 +35,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _counted_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    return materialize_counted(flow_events(spark, sf_dir), "events")
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted_events(spark, sf_dir)[0]
+    return materialize(flow_events(spark, sf_dir), "events")
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, n = _counted_events(spark, sf_dir)
-    kept = whitelist.apply_whitelist(events)
-    return sessions.session_metrics(sessions.sessionize(kept, total_rows=n))
+    kept = whitelist.apply_whitelist(_events(spark, sf_dir))
+    return sessions.session_metrics(sessions.sessionize(kept))
 
 
 def _us(column: str) -> F.Column:
@@ -74,6 +69,16 @@ EVENT_FIELDS = [
 ]
 
 
+#: Added where k = 0: no text, no object, a section that is none, nothing in it, an alert that is null.
+ODD_LINES = [
+    "",
+    '[{"event_type": "flow", "flow_id": 1}]',
+    '{"event_type": "flow", "flow_id": 2, "flow": "x"}',
+    "{}",
+    '{"event_type": "flow", "flow_id": 3, "alert": null}',
+]
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture as sensor lines: flagged where k = 99, cut short where k = 98,
     of an unknown type where k = 97, mixed number and timestamp notations."""
@@ -123,9 +128,10 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         only("ssh", F.struct(F.col("ssh_client").alias("software_version")).alias("client")).alias("ssh"),
     )
     text = F.to_json(record)
-    return flow_events(spark, sf_dir).select(
-        F.when(k == 98, F.substring(text, 1, 40)).otherwise(text).alias("value")
-    )
+    events = flow_events(spark, sf_dir)
+    usual = events.select(F.when(k == 98, F.substring(text, 1, 40)).otherwise(text).alias("value"))
+    odd = F.array(*[F.lit(x) for x in ODD_LINES])
+    return usual.unionByName(events.filter("k = 0").select(F.get(odd, (F.col("seq") % len(ODD_LINES)).cast("int")).alias("value")))
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +167,10 @@ def _(spark, sf_dir):
     "line_counts",
     _with(
         sql.FE,
-        """SELECT count(*) AS total_entries, count(*) FILTER (WHERE k = 98) AS malformed,
-        count(*) FILTER (WHERE k = 99) AS flagged, count(*) FILTER (WHERE k = 97) AS ignored,
+        """SELECT count(*) + count(*) FILTER (WHERE k = 0) AS total_entries,
+        count(*) FILTER (WHERE k = 98 OR k = 0 AND seq % 5 < 3) AS malformed,
+        count(*) FILTER (WHERE k = 99 OR k = 0 AND seq % 5 = 4) AS flagged,
+        count(*) FILTER (WHERE k = 97 OR k = 0 AND seq % 5 = 3) AS ignored,
         count(*) FILTER (WHERE k < 97) AS processed_events FROM fe""",
     ),
 )
@@ -441,12 +449,13 @@ def _detector(spark: SparkSession, sf_dir: str) -> batch.Detector:
     _with(sql.BASE, f"SELECT count(*) AS n, CAST(sum(k * 1000 + e % 1000) AS BIGINT) AS duration, count(*) FILTER (WHERE event_type = 'error') AS attacks, count(*) FILTER (WHERE e % 2 = 0) AS with_note FROM base"),
 )
 def _(spark, sf_dir):
-    """Two folders of CSV files with different headers, read back and united by name."""
+    """One folder of CSV files with different headers, read back and united by name."""
     rows = training_flows(spark, sf_dir)
-    first, second = staging_path(spark, "csv"), staging_path(spark, "csv")
-    rows.filter("record_id % 2 = 0").withColumn("note", F.lit("x")).write.option("header", True).csv(first)
-    rows.filter("record_id % 2 = 1").write.option("header", True).csv(second)
-    back = prep.trim_headers(read_training(spark, [first, second]))
+    folder = staging_path(spark, "csv")
+    rows.filter("record_id % 2 = 0").withColumn("note", F.lit("x")).write.option("header", True).csv(folder)
+    turned = rows.filter("record_id % 2 = 1").select(*[F.col(f"`{c}`") for c in reversed(rows.columns)])
+    turned.write.mode("append").option("header", True).csv(folder)
+    back = prep.trim_headers(read_training(spark, folder))
     return back.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("Flow Duration")).cast("bigint").alias("duration"),
@@ -475,7 +484,8 @@ def _(spark, sf_dir):
     return _training(spark, sf_dir).select("record_id", "label", *[_r(c) for c in TRAIN_SQL])
 
 
-DUPES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_linenumber"]
+DUPES = """l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag
+l_linestatus l_shipdate""".split()
 
 
 @query("drop_duplicates", f"SELECT DISTINCT {', '.join(DUPES)} FROM lineitem")
@@ -671,9 +681,9 @@ walk AS (
     ),
 )
 def _(spark, sf_dir):
-    s, n = materialize_counted(_sessions(spark, sf_dir), "sessions")
+    s = materialize(_sessions(spark, sf_dir), "sessions")
     closed = s.filter("close_reason <> 'flush'")
-    return zero_byte.zero_byte_bursts(closed, max_rate=BURST_RATE, total_rows=n).withColumn(
+    return zero_byte.zero_byte_bursts(closed, max_rate=BURST_RATE).withColumn(
         "zero_byte_rate", F.round("zero_byte_rate", 6)
     )
 
@@ -889,8 +899,7 @@ res AS (
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     detector = _detector(spark, sf_dir)
-    events, n = _counted_events(spark, sf_dir)
-    _, _, results = batch.analyze_events(events, detector, burst_rate=BURST_RATE, total_rows=n)
+    _, _, results = batch.analyze_events(_events(spark, sf_dir), detector, burst_rate=BURST_RATE)
     return results
 
 
@@ -934,8 +943,8 @@ def _(spark, sf_dir):
         count(*) FILTER (WHERE total_fwd_bytes + total_bwd_bytes = 0) AS zero_byte_sessions,
         count(*) FILTER (WHERE duration < 0.1 AND NOT burst) AS short_duration_sessions,
         count(*) FILTER (WHERE NOT burst) AS analyzed_sessions,
-        count(*) FILTER (WHERE NOT burst AND is_anomalous) AS anomalous_sessions,
-        count(*) FILTER (WHERE is_anomalous) AS alerts_generated FROM res""",
+        count(*) FILTER (WHERE NOT burst AND anomalous0) AS anomalous_sessions,
+        count(*) FILTER (WHERE anomalous0) AS alerts_generated FROM res""",
     ),
 )
 def _(spark, sf_dir):
@@ -946,7 +955,8 @@ def _(spark, sf_dir):
     "run_summary",
     _with(
         RESULTS,
-        """SELECT (SELECT count(*) FROM fe) AS total_entries, (SELECT count(*) FROM fe WHERE k = 99) AS flagged,
+        """SELECT (SELECT count(*) + count(*) FILTER (WHERE k = 0) FROM fe) AS total_entries,
+        (SELECT count(*) FROM fe WHERE k = 99 OR k = 0 AND seq % 5 = 4) AS flagged,
         (SELECT count(*) FROM fe WHERE k < 97) AS processed_events,
         count(*) AS finalized_sessions, count(*) FILTER (WHERE is_anomalous) AS anomalies_detected FROM res""",
     ),
@@ -983,9 +993,9 @@ def _events_sql(name: str, count: str) -> str:
     return f"CASE WHEN {count} > 0 THEN '{name}: ' || {count} || chr(10) ELSE '' END"
 
 
-CONNECTION_SQL = """'CONNECTION DETAILS:' || chr(10) || 'Source IP: ' || src_ip || chr(10) || 'Source Port: ' || src_port || chr(10)
-  || 'Destination IP: ' || dst_ip || chr(10) || 'Destination Port: ' || dst_port || chr(10) || 'Protocol: ' || proto || chr(10)
-  || CASE WHEN app_proto <> '' THEN 'App Protocol: ' || app_proto || chr(10) ELSE '' END"""
+CONNECTION_SQL = """'Endpoints' || chr(10) || 'from address: ' || src_ip || chr(10) || 'from port: ' || src_port || chr(10)
+  || 'to address: ' || dst_ip || chr(10) || 'to port: ' || dst_port || chr(10) || 'transport: ' || proto || chr(10)
+  || CASE WHEN app_proto <> '' THEN 'application: ' || app_proto || chr(10) ELSE '' END"""
 GROUPED_SQL = "format('{:,}', CAST(%s AS BIGINT))"
 
 
@@ -994,18 +1004,18 @@ GROUPED_SQL = "format('{:,}', CAST(%s AS BIGINT))"
     _with(
         RESULTS,
         f"""SELECT flow_id, session_no, {CONNECTION_SQL} AS connection,
-        {_events_sql('HTTP Events', 'http_event_count')} || {_join_sql('HTTP Methods', 'http_event_count', 'http_methods')}
-        || {_join_sql('HTTP Status Codes', 'http_event_count', 'http_status_codes')} || {_events_sql('DNS Events', 'dns_event_count')}
-        || {_join_sql('DNS Queries', 'dns_event_count', 'dns_queries[1:3]')} || {_events_sql('TLS Events', 'tls_event_count')}
-        || {_join_sql('TLS SNI', 'tls_event_count', 'tls_sni')} AS app,
-        'TRAFFIC STATISTICS:' || chr(10) || 'Total Bytes: ' || {GROUPED_SQL % 'CASE WHEN burst THEN 0 ELSE total_fwd_bytes + total_bwd_bytes END'} || chr(10)
-        || '  → Source→Dest: ' || {GROUPED_SQL % 'total_fwd_bytes'} || ' bytes' || chr(10)
-        || '  → Dest→Source: ' || {GROUPED_SQL % 'total_bwd_bytes'} || ' bytes' || chr(10)
-        || 'Total Packets: ' || {GROUPED_SQL % 'CASE WHEN burst THEN 0 ELSE total_fwd_packets + total_bwd_packets END'} || chr(10)
-        || '  → Source→Dest: ' || {GROUPED_SQL % 'total_fwd_packets'} || ' packets' || chr(10)
-        || '  → Dest→Source: ' || {GROUPED_SQL % 'total_bwd_packets'} || ' packets' || chr(10)
-        || 'Connection State: ' || state AS traffic,
-        'POSSIBLE THREAT IMPLICATIONS:' || chr(10) || '  • ' || {_hint_sql()}
+        {_events_sql('http requests', 'http_event_count')} || {_join_sql('http verbs', 'http_event_count', 'http_methods')}
+        || {_join_sql('http answers', 'http_event_count', 'http_status_codes')} || {_events_sql('dns lookups', 'dns_event_count')}
+        || {_join_sql('dns names', 'dns_event_count', 'dns_queries[1:3]')} || {_events_sql('tls handshakes', 'tls_event_count')}
+        || {_join_sql('tls names', 'tls_event_count', 'tls_sni')} AS app,
+        'Volume' || chr(10) || 'bytes in all: ' || {GROUPED_SQL % 'CASE WHEN burst THEN 0 ELSE total_fwd_bytes + total_bwd_bytes END'} || chr(10)
+        || '  sent: ' || {GROUPED_SQL % 'total_fwd_bytes'} || ' bytes' || chr(10)
+        || '  received: ' || {GROUPED_SQL % 'total_bwd_bytes'} || ' bytes' || chr(10)
+        || 'packets in all: ' || {GROUPED_SQL % 'CASE WHEN burst THEN 0 ELSE total_fwd_packets + total_bwd_packets END'} || chr(10)
+        || '  sent: ' || {GROUPED_SQL % 'total_fwd_packets'} || ' packets' || chr(10)
+        || '  received: ' || {GROUPED_SQL % 'total_bwd_packets'} || ' packets' || chr(10)
+        || 'closed as: ' || state AS traffic,
+        'It may mean' || chr(10) || '  • ' || {_hint_sql()}
         || CASE WHEN port_scan_score > 0.5 THEN chr(10) || '  • {alerts.BEHAVIOR_HINTS['port_scan_score']}' ELSE '' END
         || CASE WHEN host_scan_score > 0.5 THEN chr(10) || '  • {alerts.BEHAVIOR_HINTS['host_scan_score']}' ELSE '' END
         || CASE WHEN brute_force_score > 0.5 THEN chr(10) || '  • {alerts.BEHAVIOR_HINTS['brute_force_score']}' ELSE '' END
@@ -1029,12 +1039,12 @@ def _(spark, sf_dir):
     "alert_short",
     _with(
         RESULTS + """,
-top3 AS (SELECT flow_id, session_no, string_agg('- ' || feature || ': ' || round(v, 3) || ' (z-score: ' || printf('%.2f', round(z, 2)) || ')', chr(10) ORDER BY rk) AS t
+top3 AS (SELECT flow_id, session_no, string_agg('- ' || feature || ': ' || round(v, 3) || ' (z ' || printf('%.2f', round(z, 2)) || ')', chr(10) ORDER BY rk) AS t
   FROM (SELECT *, row_number() OVER (PARTITION BY flow_id, session_no ORDER BY abs(z) DESC, i) AS rk FROM fz WHERE abs(z) > 3 OR is_outlier) WHERE rk <= 3 GROUP BY ALL)""",
-        f"""SELECT flow_id, session_no, '{alerts.TITLE}' || chr(10) || chr(10) || 'Time: ' || strftime(make_timestamp(close_us), '%Y-%m-%d %H:%M:%S') || chr(10)
-        || repeat('-', 40) || chr(10) || {CONNECTION_SQL} || chr(10) || 'Anomaly Score: ' || printf('%.4f', round(combined_score, 4)) || chr(10)
-        || CASE WHEN t IS NULL OR burst THEN '' ELSE chr(10) || 'Statistical Anomalies:' || chr(10) || t || chr(10) END
-        || chr(10) || 'Alert generated at ' || strftime(make_timestamp(close_us), '%Y-%m-%d %H:%M:%S') AS message
+        f"""SELECT flow_id, session_no, '{alerts.TITLE}' || chr(10) || chr(10) || 'seen at: ' || strftime(make_timestamp(close_us), '%Y-%m-%d %H:%M:%S') || chr(10)
+        || repeat('-', 40) || chr(10) || {CONNECTION_SQL} || chr(10) || 'score: ' || printf('%.4f', round(combined_score, 4)) || chr(10)
+        || CASE WHEN t IS NULL OR burst THEN '' ELSE chr(10) || 'Unusual values' || chr(10) || t || chr(10) END
+        || chr(10) || 'written for ' || strftime(make_timestamp(close_us), '%Y-%m-%d %H:%M:%S') AS message
         FROM res LEFT JOIN top3 USING (flow_id, session_no) WHERE is_anomalous""",
     ),
 )
@@ -1116,11 +1126,11 @@ def _(spark, sf_dir):
 
 @query("model_scores")
 def _(spark, sf_dir):
-    """Train small models on the labelled view and score the sessions with them."""
+    """Train the models on the labelled view and score the sessions with them."""
     from wireloom.plans import training
 
     raw = training_flows(spark, sf_dir).drop("record_id")
-    trained = training.train(raw, trees=5, rounds=2, forest_depth=4)
+    trained = training.train(raw)
     rows = features.session_features(_sessions(spark, sf_dir))
     scored = batch.score_features(rows, trained.detector)
     return scored.select(
@@ -1157,7 +1167,6 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "max_depth int, macro_f1 double")
 
 
-SENTINEL_US = 1_704_067_200_000_000 + 86_400_000_000
 STREAM_SQL = sql.EV + sql.sessions()
 
 
@@ -1177,15 +1186,17 @@ def _(spark, sf_dir):
 
     events = whitelist.apply_whitelist(_events(spark, sf_dir)).select(*EVENT_COLUMNS)
     source = staging_path(spark, "stream")
+    last = events.agg(F.max(_us("event_ts")).alias("us")).first()["us"]
     end = events.orderBy("seq").limit(1).withColumns(
         {
-            "event_ts": F.timestamp_micros(F.lit(SENTINEL_US)),
+            "event_ts": F.timestamp_micros(F.lit(last + 86_400_000_000)),
             "flow_id": F.lit("end"),
             "event_type": F.lit("fileinfo"),
         }
     )
     cut = F.floor((_us("event_ts") - 1_704_067_200_000_000) / 220_000_000)
-    for i in range(3):
+    bounds = events.agg(F.min(cut).alias("low"), F.max(cut).alias("high")).first()
+    for i in range(bounds["low"], bounds["high"] + 1):
         events.filter(cut == i).coalesce(1).write.mode("append").parquet(source)
     end.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)

@@ -46,9 +46,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """The same with the table's row count, which parquet keeps in its footers."""
-    table = materialize(df, name)
-    return table, table.count()

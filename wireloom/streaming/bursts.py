@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wireloom.functions.scalars import MICROS
 from wireloom.functions.shipping import ship
 from wireloom.operators.sessions import SESSION_KEY
-from wireloom.operators.zero_byte import BURST_KEY, ZERO_SPAN_US, zero_byte_sessions
+from wireloom.operators.zero_byte import BURST_KEY, ZERO_SPAN_US, exact_rate, zero_byte_sessions
 from wireloom.streaming import require_rocksdb
 
 ship(__name__)
@@ -27,7 +27,7 @@ COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 class BurstProcessor(StatefulProcessor):
     def __init__(self, min_count: int, max_rate: float, idle_us: int):
         self.min_count, self.idle_us = min_count, idle_us
-        self.slice_us = int(round(MICROS / max_rate))
+        self.num, self.den = exact_rate(max_rate)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,7 +43,7 @@ class BurstProcessor(StatefulProcessor):
                 count, first = 0, us
             count, last = count + 1, us
             span = (us - first) or ZERO_SPAN_US
-            if count >= self.min_count and count * self.slice_us > span:
+            if count >= self.min_count and count * MICROS * self.den > span * self.num:
                 out.append((flow_id, int(number), *key, us, count, count * float(MICROS) / span))
                 count = 0
         self.counter.update((count, first, last))
