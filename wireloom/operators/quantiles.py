@@ -1,83 +1,112 @@
 """Exact percentiles of columns of any size.
 
-Spark's ``percentile`` keeps one counter per distinct value in a single
-aggregation buffer, which is right for small inputs only. Beyond a row limit the
-exact order statistics are found by narrowing: an approximate percentile
-brackets the wanted ranks, one pass counts exactly what lies below and inside
-the bracket, and only the bracket's value counts are ranked.
+The wanted ranks are narrowed down: an approximate percentile of what a bracket
+holds gives narrower brackets, one pass counts exactly what lies below and
+inside them, and this is repeated until a bracket holds few values. Those are
+counted by value and ranked. Each round narrows a bracket by three orders of
+magnitude, and the driver sees bounds and counts only.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SMALL = 1_000_000
+#: Rows that a bracket may hold when its values are ranked.
+BRACKET_ROWS = 2_000
 ACCURACY = 10_000
 
 
+@dataclass
+class _Target:
+    """A percentile of a column: the two ranks it lies between, and its bracket."""
+
+    column: str
+    below: int
+    above: int
+    weight: float
+    low: float
+    high: float
+    before: int = 0  # rows below the bracket
+    inside: int = 0
+
+
+def _approximate(data: DataFrame, targets: dict[str, _Target]) -> dict[str, tuple[float, float]]:
+    """Bounds that should hold the ranks, from the values inside the brackets."""
+    slack = 2.0 / ACCURACY
+    asked = []
+    for name, t in targets.items():
+        value = F.col(t.column)
+        held = F.when(value.between(t.low, t.high), value)
+        span = max(t.inside - 1, 1)
+        marks = [max((t.below - t.before) / span - slack, 0.0), min((t.above - t.before) / span + slack, 1.0)]
+        asked.append(F.percentile_approx(held, F.array(*[F.lit(m) for m in marks]), ACCURACY).alias(name))
+    row = data.agg(*asked).first()
+    # the first and last mark stand for the bracket's own ends
+    return {
+        n: (
+            t.low if (t.below - t.before) / max(t.inside - 1, 1) <= slack else row[n][0],
+            t.high if (t.above - t.before) / max(t.inside - 1, 1) >= 1 - slack else row[n][1],
+        )
+        for n, t in targets.items()
+    }
+
+
+def _counts(data: DataFrame, bounds: dict[str, tuple[str, float, float]]) -> dict[str, tuple[int, int]]:
+    """Rows below and inside the bounds."""
+    asked = []
+    for name, (column, low, high) in bounds.items():
+        value = F.col(column)
+        asked += [F.count_if(value < low).alias(f"b_{name}"), F.count_if(value.between(low, high)).alias(f"i_{name}")]
+    row = data.agg(*asked).first()
+    return {n: (row[f"b_{n}"], row[f"i_{n}"]) for n in bounds}
+
+
 def exact_percentiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], small: int = SMALL
+    df: DataFrame, columns: list[str], probabilities: list[float], bracket_rows: int = BRACKET_ROWS
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated percentiles (nulls ignored) for each column."""
     names = {c: f"c{i}" for i, c in enumerate(columns)}
     data = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in names.items()])
-    counts = data.agg(*[F.count(n).alias(n) for n in names.values()]).first()
-    if max(counts) <= small:
-        row = data.agg(
-            *[F.percentile(n, F.array(*[F.lit(p) for p in probabilities])).alias(n) for n in names.values()]
-        ).first()
-        return {c: list(row[n]) if row[n] is not None else [None] * len(probabilities) for c, n in names.items()}
-
-    slack = 2.0 / ACCURACY
-    marks = sorted({min(max(p + s, 0.0), 1.0) for p in probabilities for s in (-slack, slack)})
-    approx = data.agg(
-        *[F.percentile_approx(n, F.array(*[F.lit(m) for m in marks]), ACCURACY).alias(n) for n in names.values()],
-        *[F.min(n).alias(f"min_{n}") for n in names.values()],
-        *[F.max(n).alias(f"max_{n}") for n in names.values()],
+    seen = data.agg(
+        *[f(n).alias(f"{k}_{n}") for n in names.values() for k, f in (("n", F.count), ("min", F.min), ("max", F.max))]
     ).first()
-
-    wanted = {}  # target id -> (column, rank below, rank above, weight, low, high)
-    for column, n in names.items():
-        total = counts[n]
-        if not total:
-            continue
-        for i, p in enumerate(probabilities):
+    targets: dict[str, _Target] = {}
+    for n in names.values():
+        total = seen[f"n_{n}"]
+        for i, p in enumerate(probabilities if total else []):
             place = p * (total - 1)
-            below = math.floor(place)
-            low = approx[n][marks.index(max(p - slack, 0.0))] if p - slack > 0 else approx[f"min_{n}"]
-            high = approx[n][marks.index(min(p + slack, 1.0))] if p + slack < 1 else approx[f"max_{n}"]
-            wanted[f"{n}_{i}"] = (n, below, math.ceil(place), place - below, low, high)
-
-    def count_pass(bounds: dict[str, tuple[float, float]]):
-        checks = []
-        for target, (low, high) in bounds.items():
-            c = F.col(wanted[target][0])
-            checks += [F.count_if(c < low).alias(f"b_{target}"), F.count_if(c <= high).alias(f"t_{target}")]
-        return data.agg(*checks).first()
-
-    bounds = {t: (w[4], w[5]) for t, w in wanted.items()}
-    seen = count_pass(bounds)
-    # a bracket that misses its ranks is replaced by the whole range
-    missed = {
-        t: (approx[f"min_{w[0]}"], approx[f"max_{w[0]}"])
-        for t, w in wanted.items()
-        if not (seen[f"b_{t}"] <= w[1] and w[2] < seen[f"t_{t}"])
-    }
-    bounds.update(missed)
-    offset = {t: 0 if t in missed else seen[f"b_{t}"] for t in wanted}
+            targets[f"{n}_{i}"] = _Target(
+                n, math.floor(place), math.ceil(place), place - math.floor(place), seen[f"min_{n}"], seen[f"max_{n}"], 0, total
+            )
+    wide = {k: t for k, t in targets.items() if t.inside > bracket_rows and t.low < t.high}
+    while wide:
+        bounds = {k: (wide[k].column, *b) for k, b in _approximate(data, wide).items()}
+        following = {}
+        for k, (before, inside) in _counts(data, bounds).items():
+            t = wide[k]
+            good = before <= t.below and t.above < before + inside
+            if good and inside < t.inside:
+                t.low, t.high, t.before, t.inside = bounds[k][1], bounds[k][2], before, inside
+                if inside > bracket_rows and t.low < t.high:
+                    following[k] = t
+            # a bracket that didn't narrow is ranked as it is
+        wide = following
 
-    def candidate(target: str) -> Column:
-        value = F.col(wanted[target][0])
-        low, high = bounds[target]
-        return F.when(value.between(low, high), F.struct(F.lit(target).alias("target"), value.alias("value")))
+    def candidate(name: str) -> Column:
+        t = targets[name]
+        value = F.col(t.column)
+        return F.when(value.between(t.low, t.high), F.struct(F.lit(name).alias("target"), value.alias("value")))
 
-    inside = data.select(F.explode(F.array_compact(F.array(*[candidate(t) for t in wanted]))).alias("x"))
+    result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
+    if not targets:
+        return result
+    inside = data.select(F.explode(F.array_compact(F.array(*[candidate(t) for t in targets]))).alias("x"))
     values = inside.groupBy("x.target", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("target").orderBy("value"))
-    ranked = values.withColumn("upto", upto)
-    ranks = {t: (w[1] - offset[t], w[2] - offset[t]) for t, w in wanted.items()}
+    ranked = values.withColumn("upto", F.sum("n").over(Window.partitionBy("target").orderBy("value")))
+    ranks = {k: (t.below - t.before, t.above - t.before) for k, t in targets.items()}
 
     def holds(which: int) -> Column:
         rank = F.coalesce(*[F.when(F.col("target") == t, F.lit(r[which])) for t, r in ranks.items()])
@@ -87,10 +116,9 @@ def exact_percentiles(
         F.min(F.when(holds(0), F.col("value"))).alias("below"),
         F.min(F.when(holds(1), F.col("value"))).alias("above"),
     )
-    result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     by_name = {n: c for c, n in names.items()}
     for row in found.collect():  # one row per column and probability
         n, i = row["target"].rsplit("_", 1)
-        weight = wanted[row["target"]][3]
+        weight = targets[row["target"]].weight
         result[by_name[n]][int(i)] = row["below"] + (row["above"] - row["below"]) * weight
     return result
