@@ -9,13 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wireloom.functions.scalars import MICROS
 from wireloom.operators import alerts, behavior, normalize, scoring
+from wireloom.operators.running import activity_epochs
 from wireloom.operators.sessions import session_metrics
 from wireloom.operators.whitelist import TrustedServices, apply_whitelist
+from wireloom.operators.zero_byte import BURST_KEY, zero_byte_bursts, zero_byte_sessions
 from wireloom.plans.batch import Detector, score_sessions, status_report
 from wireloom.sources.events import stream_events
 from wireloom.sources.sinks import write_alerts, write_results
+from wireloom.sources.staging import materialize
 from wireloom.streaming.bursts import stream_bursts
-from wireloom.streaming.sessions import stream_sessions
+from wireloom.streaming.sessions import closed_schema, stream_sessions
 
 
 def live_events(
@@ -44,7 +47,7 @@ def start_bursts(
     spark: SparkSession, out: str, trigger: dict | None = None, min_count: int = 3, max_rate: float = 1.0
 ) -> StreamingQuery:
     """Write burst alerts to ``{out}/bursts`` from the session table."""
-    sessions = spark.readStream.schema(spark.read.parquet(f"{out}/sessions").schema).parquet(f"{out}/sessions")
+    sessions = session_stream(spark, out)
     return (
         stream_bursts(sessions, min_count, max_rate)
         .writeStream.format("parquet")
@@ -55,27 +58,75 @@ def start_bursts(
     )
 
 
-def recent_sessions(spark: SparkSession, out: str, batch: DataFrame, window_seconds: float) -> DataFrame:
-    """Sessions of the table that can be in the window of some session of the batch;
-    the hour partitions prune the read."""
-    bounds = batch.agg(F.min("close_ts").alias("low"), F.max("close_ts").alias("high")).first()
-    table = spark.read.parquet(f"{out}/sessions")
-    if bounds["low"] is None:
-        return table.limit(0)
-    low = F.timestamp_micros(F.unix_micros(F.lit(bounds["low"])) - int(window_seconds * MICROS))
-    high = F.lit(bounds["high"])
-    hours = F.col("hour").between(
-        F.date_format(low, "yyyy-MM-dd-HH"), F.date_format(high, "yyyy-MM-dd-HH")
-    )
-    return table.filter(hours & F.col("close_ts").between(low, high))
+def session_stream(spark: SparkSession, out: str) -> DataFrame:
+    """The session table as a stream, whether or not anything has been written yet."""
+    known = session_metrics(spark.createDataFrame([], closed_schema(spark))).schema.add("hour", "string")
+    return spark.readStream.schema(known).parquet(f"{out}/sessions")
+
+
+def _observed(sessions: DataFrame) -> DataFrame:
+    """The sessions that count towards behaviour."""
+    return sessions.filter("close_reason = 'terminal' and coalesce(src_ip, '') <> ''")
+
+
+def since_silence(
+    spark: SparkSession,
+    out: str,
+    name: str,
+    batch_id: int,
+    batch: DataFrame,
+    only: Callable[[DataFrame], DataFrame],
+    keys: list[str],
+    silence_seconds: float,
+) -> DataFrame:
+    """Those sessions of the table that ``only`` keeps and that have the keys of
+    the batch, from each key's last silence of more than ``silence_seconds`` on:
+    all that totals which restart with such a silence depend on.
+
+    One row per key and batch tells when its activity began and was last seen. A
+    batch reads those of its keys, a source that has been active for days costs
+    its own sessions, and the hour partitions prune the rest.
+    """
+    silence_us = int(silence_seconds * MICROS)
+    us = F.unix_micros("close_ts")
+    now = only(batch).groupBy(*keys).agg(F.min(us).alias("first"))
+    same = lambda a, b: [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
+    named = {k: f"_{k}" for k in keys}
+    folder = f"{out}/activity-{name}"
+    known = spark.createDataFrame([], now.withColumns({"began": F.lit(0).cast("bigint"), "seen": F.lit(0).cast("bigint")}).drop("first").schema)
+    if batch_id > 0:
+        known = spark.read.schema(known.schema.add("batch", "long")).parquet(folder).filter(F.col("batch") < batch_id)
+    last = known.groupBy(*keys).agg(F.max_by(F.struct("began", "seen"), "seen").alias("k")).withColumnsRenamed(named)
+    began = F.when(F.col("first") - F.col("k.seen") <= silence_us, F.col("k.began"))
+    starts = now.join(last, same(now, last), "left").select(*keys, F.least("first", F.coalesce(began, "first")).alias("start"))
+    starts = materialize(starts.withColumnsRenamed(named), f"starts-{name}")
+    low = starts.agg(F.timestamp_micros(F.min("start")).alias("t")).first()["t"]
+    table = spark.read.schema(session_stream(spark, out).schema).parquet(f"{out}/sessions")
+    table = table.filter(F.col("hour") >= F.date_format(F.lit(low), "yyyy-MM-dd-HH")) if low else table.limit(0)
+    table = only(table)
+    here = table.join(starts, [*same(table, starts), F.unix_micros(table["close_ts"]) >= starts["start"]]).drop("hour", "start", *named.values())
+    context = materialize(here, f"context-{name}")
+    points = context.withColumn("us", us)
+    epochs = activity_epochs(points, keys, "us", silence_us, min(silence_us, 60 * MICROS))
+    latest = epochs.groupBy(*keys).agg(F.max_by("epoch_start", "epoch").alias("began"))
+    seen = points.groupBy(*keys).agg(F.max("us").alias("seen")).withColumnsRenamed(named)
+    rows = latest.join(seen, same(latest, seen)).select(*keys, "began", "seen")
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    return context
 
 
 def score_batch(
-    batch: DataFrame, recent: DataFrame, detector: Detector, window_seconds: float = behavior.WINDOW_SECONDS
+    batch: DataFrame,
+    context: DataFrame,
+    detector: Detector,
+    window_seconds: float = behavior.WINDOW_SECONDS,
+    bursts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(results, latest behaviour scores) of one micro-batch of closed sessions."""
-    results = scoring.result_rows(score_sessions(batch, detector))
-    timeline = behavior.behavior_timeline(recent, window_seconds)
+    """(results, latest behaviour scores) of one micro-batch of closed sessions, as
+    the batch analysis has them. ``context`` holds the sessions of their sources
+    since their last silence, ``bursts`` the alerts among them."""
+    results = scoring.result_rows(score_sessions(batch, detector), bursts)
+    timeline = behavior.behavior_timeline(context, window_seconds)
     sources = behavior.behavior_scores(timeline, window_seconds)
     vectors = behavior.behavior_features(sources, window_seconds)
     return behavior.escalate(results, vectors), behavior.latest_scores(sources)
@@ -88,14 +139,19 @@ def start_scoring(
     on_alerts: Callable[[DataFrame, int], None] | None = None,
     on_status: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
+    burst_count: int = 3,
+    burst_rate: float = 1.0,
+    idle_seconds: float = 600,
 ) -> StreamingQuery:
     """Score new sessions of the session table; write results and alert texts and
     hand alerts and the suspicious-source status to the callbacks."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        columns = batch.drop("hour")
-        recent = recent_sessions(spark, out, columns, behavior.WINDOW_SECONDS).drop("hour")
-        results, latest = score_batch(columns, recent, detector)
+        columns = materialize(batch.drop("hour"), "batch")
+        context = since_silence(spark, out, "sources", batch_id, columns, _observed, ["src_ip"], behavior.WINDOW_SECONDS)
+        of_keys = since_silence(spark, out, "bursts", batch_id, columns, zero_byte_sessions, BURST_KEY, idle_seconds)
+        bursts = zero_byte_bursts(of_keys, burst_count, burst_rate, idle_seconds)
+        results, latest = score_batch(columns, context, detector, bursts=bursts)
         folder = f"{out}/scored/batch={batch_id}"  # a repeated batch replaces its own output
         results.write.mode("overwrite").parquet(folder)
         done = spark.read.parquet(folder)
@@ -107,7 +163,7 @@ def start_scoring(
         if on_status:
             on_status(status_report(latest), batch_id)
 
-    sessions = spark.readStream.schema(spark.read.parquet(f"{out}/sessions").schema).parquet(f"{out}/sessions")
+    sessions = session_stream(spark, out)
     return (
         sessions.writeStream.foreachBatch(handle)
         .option("checkpointLocation", f"{out}/checkpoints/scoring")
