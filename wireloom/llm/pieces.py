@@ -8,13 +8,14 @@ is the segmentation with the highest sum of scores; of equal sums the one whose
 last differing piece is longer.
 
 A word here is a run of spaces with the characters after it that occur in
-pieces of several characters; every other character stands alone. No piece
-crosses such a border (the table is refused if one does), so words can be
-segmented one by one. Characters without a piece become byte pieces.
+pieces of several characters, cut wherever two neighbours are neighbours in no
+piece; every other character stands alone. No piece crosses such a border (the
+table is refused if one does), so words can be segmented one by one. Characters
+without a piece become byte pieces.
 
 Documents are dealt into blocks of bounded size by a hash. Each block asks for
-its distinct words once and is put together from their ids, so a frequent word
-costs one row per block, and a text is moved once, compressed.
+its distinct words once, in packed lists dealt by a hash of the word, gets lists
+of ids back, and is put together from them. A text is moved once, compressed.
 
 A null text has null ids, an empty one none. Texts of any length are encoded
 whole; words longer than ``LONG`` characters go through the same recurrence
@@ -34,6 +35,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,11 +60,22 @@ class Pieces(NamedTuple):
     unknown: float  # score of a character without a piece
     longest: int
     inner: str  # characters that occur in pieces of several characters
+    pairs: frozenset[str]  # neighbours in some piece
 
     def pattern(self) -> str:
         inner = "".join(re.escape(c) for c in self.inner)
         return f"\x20*[{inner}]+|\x20+|[^\x20{inner}]" if inner else "\x20+|[^\x20]"
 
+    def cut(self, run: str) -> list[str]:
+        """The words of a run that ``pattern`` finds."""
+        out, start = [], 0
+        for i in range(1, len(run)):
+            if run[i - 1 : i + 1] not in self.pairs:
+                out.append(run[start:i])
+                start = i
+        out.append(run[start:])
+        return out
+
 
 def load(path: str = MODEL) -> Pieces:
     """The ordinary pieces, their scores and the byte pieces of a model file.
@@ -90,11 +103,12 @@ def load(path: str = MODEL) -> Pieces:
 def table(rows: list[tuple[str, int, float]], bytes_ids: list[int]) -> Pieces:
     if len(rows) > MAX_PIECES:
         raise ValueError(f"more than {MAX_PIECES} pieces")
-    if any(re.search(r"[^\x20]\x20", p) for p, _, _ in rows):
-        raise ValueError("a piece has a space behind other characters")
+    if any(re.search(r"[^\x20]\x20", p) or "\0" in p for p, _, _ in rows):
+        raise ValueError("a piece has a space behind other characters, or the character that parts words in lists")
     inner = sorted({c for p, _, _ in rows if len(p) > 1 for c in p} - {" "})
+    pairs = frozenset(p[i : i + 2] for p, _, _ in rows for i in range(len(p) - 1))
     unknown = min((s for _, _, s in rows), default=0.0) - UNKNOWN_PENALTY
-    return Pieces(rows, bytes_ids, unknown, max((len(p) for p, _, _ in rows), default=1), "".join(inner))
+    return Pieces(rows, bytes_ids, unknown, max((len(p) for p, _, _ in rows), default=1), "".join(inner), pairs)
 
 
 def viterbi(word: str, scores: dict[str, tuple[int, float]], longest: int, unknown: float) -> list[tuple[int, int, int]]:
@@ -117,9 +131,9 @@ def viterbi(word: str, scores: dict[str, tuple[int, float]], longest: int, unkno
     return out[::-1]
 
 
-def _fold(edges: Column, longest: int) -> Column:
-    """Viterbi over ``edges``, an array by end position of arrays of
-    ``(length, score, id)``. The state holds the best score and ids of the last
+def _fold(positions: Column, longest: int) -> Column:
+    """Viterbi over ``positions``, an array by end position of the edges
+    ``(length, score, id)`` that end there. The state holds the best score and ids of the last
     positions, as many as the longest piece has characters, newest first."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<struct<id:int,at:int>>").alias("ids")))
 
@@ -146,11 +160,12 @@ def _fold(edges: Column, longest: int) -> Column:
         )
         return F.slice(F.concat(row, state), 1, longest)
 
-    return F.element_at(F.aggregate(edges, start, step), 1)["ids"]
+    return F.element_at(F.aggregate(positions, start, step), 1)["ids"]
 
 
-def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word, ids`` for a table of distinct, non-empty words (column ``word``)."""
+def segment(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ()) -> DataFrame:
+    """``word, ids`` for a table of distinct, non-empty words (column ``word``).
+    Columns ``by`` are kept; if the words are dealt by them, nothing is dealt anew."""
     spark = words.sparkSession
     known = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
     starts = words.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("word"))))
@@ -159,14 +174,17 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
     # a substring that isn't a piece is no edge, but for single characters
     matched = spans.join(F.broadcast(known), F.expr("substring(word, start, length) = piece"), "left").filter("id is not null or length = 1")
     edge = F.struct(
+        (F.col("start") + F.col("length") - 1).alias("end"),
         F.col("length"),
         F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
         F.coalesce("id", F.lit(-1)).alias("id"),
     )
-    ends = matched.select("word", (F.col("start") + F.col("length") - 1).alias("end"), edge.alias("edge"))
-    lattice = ends.groupBy("word", "end").agg(F.collect_list("edge").alias("edges"))
-    lattice = lattice.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("lattice"))
-    folded = lattice.select("word", _fold(F.col("lattice"), pieces.longest).alias("path"))
+    lattice = matched.select(*by, "word", edge.alias("edge")).groupBy(*by, "word").agg(F.collect_list("edge").alias("edges"))
+    positions = F.transform(
+        F.sequence(F.lit(1), F.length("word")),
+        lambda i: F.struct(i.alias("end"), F.filter("edges", lambda e: e["end"] == i).alias("edges")),
+    )
+    folded = lattice.select(*by, "word", _fold(positions, pieces.longest).alias("path"))
     fallback = F.array(*[F.lit(i) for i in pieces.bytes_ids])
 
     def spelled(p: Column) -> Column:
@@ -176,62 +194,102 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
         byte = F.transform(places, lambda i: F.conv(F.substr(char, i, F.lit(2)), 16, 10).cast("int"))
         return F.when(p["id"] >= 0, F.array(p["id"])).otherwise(F.transform(byte, lambda b: F.get(fallback, b)))
 
-    return folded.select("word", F.flatten(F.transform("path", spelled)).alias("ids"))
+    return folded.select(*by, "word", F.flatten(F.transform("path", spelled)).alias("ids"))
+
+
+def _lists(runs: set[str], pieces: Pieces, known: set[str], buckets: int) -> dict[int, list[str]]:
+    """The words to ask for, sorted, by the bucket of their hash: not those that
+    are longer than ``LONG``, nor single characters without a piece."""
+    out: dict[int, list[str]] = {}
+    for w in {w for run in runs for w in pieces.cut(run)}:
+        if len(w) <= LONG and (len(w) > 1 or w in known):
+            out.setdefault(xxhash.xxh3_64_intdigest(w.encode()) % buckets, []).append(w)
+    for words in out.values():
+        words.sort()
+    return out
+
 
+def _asked(pieces: Pieces, block: str, packed: str, buckets: int):
+    pattern = pieces.pattern()
 
-def _words_of_blocks(pattern: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, unpack = re.compile(pattern).findall, zstandard.ZstdDecompressor()
+        find, unpack, pack = re.compile(pattern).findall, zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        known = {p for p, _, _ in pieces.rows}
         seen: dict[int, set[str]] = {}
         for batch in batches:
-            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if packed.is_valid:
-                    seen.setdefault(block, set()).update(find(_unpacked(unpack, packed.as_py())))
-        for block, words in seen.items():
-            short = [w for w in words if len(w) <= limit]
-            for i in range(0, len(short), 20_000):
-                part = short[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"]
-                )
+            for b, value in zip(batch.column(block).to_pylist(), batch.column(packed)):
+                if value.is_valid:
+                    seen.setdefault(b, set()).update(find(_unpacked(unpack, value.as_py())))
+        for b in list(seen):
+            lists = _lists(seen.pop(b), pieces, known, buckets)
+            data = [pack.compress("\0".join(words).encode()) for words in lists.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b] * len(lists), pa.int64()), pa.array(list(lists), pa.int64()), pa.array(data, pa.binary())], ["block", "bucket", "words"]
+            )
 
     return run
 
 
+@F.pandas_udf(T.StringType())
+def _listed(lists: pd.Series) -> pd.Series:
+    unpack = zstandard.ZstdDecompressor()
+    return lists.map(lambda x: unpack.decompress(x).decode())
+
+
+def _answered(asked: pa.Table, found: pa.Table) -> pa.Table:
+    """The ids of the words of each list, in the order of the list: how many for
+    each word, and all of them."""
+    unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+    ids = dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist()))
+    sizes, flat = [], []
+    for words in asked.column("words").to_pylist():
+        paths = [ids[w] for w in unpack.decompress(words).decode().split("\0")]
+        sizes.append(pack.compress(np.fromiter(map(len, paths), dtype=np.uint16, count=len(paths)).tobytes()))
+        flat.append(pack.compress(np.array([i for p in paths for i in p], dtype=np.int32).tobytes()))
+    return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(flat, pa.binary())})
+
+
 def _unpacked(unpack, packed: bytes) -> str:
     text = unpack.decompress(packed).decode()
     return " " + text if text else ""
 
 
-def _assembled(pattern: str, pieces: Pieces, block: str, packed: str, text: str, names: list[str], schema: pa.Schema):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+def _assembled(pieces: Pieces, packed: str, text: str, names: list[str], schema: pa.Schema, buckets: int):
+    pattern = pieces.pattern()
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         find, unpack = re.compile(pattern).findall, zstandard.ZstdDecompressor()
-        ids = {}
-        for part in words.to_batches(max_chunksize=20_000):
-            flat, offsets = part.column("ids").flatten().to_numpy(), part.column("ids").offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            packed_ids = flat.astype(np.int32).tobytes()
-            for w, a, b in zip(part.column("word").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                ids[w] = packed_ids[4 * a : 4 * b]
-        scores = None
-        texts, found = [], []
+        known = {p for p, _, _ in pieces.rows}
+        runs: set[str] = set()
         for value in docs.column(packed):
-            if not value.is_valid:
-                texts.append(None)
-                found.append(None)
-                continue
-            whole = _unpacked(unpack, value.as_py())
+            if value.is_valid:
+                runs.update(find(_unpacked(unpack, value.as_py())))
+        lists = _lists(runs, pieces, known, buckets)
+        ids: dict[str, bytes] = {}
+        for bucket, sizes, flat in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "ids"))):
+            data, ends = unpack.decompress(flat), 4 * np.cumsum(np.frombuffer(unpack.decompress(sizes), dtype=np.uint16), dtype=np.int64)
+            start = 0
+            for w, end in zip(lists.pop(bucket), ends.tolist()):
+                ids[w], start = data[start:end], end
+        scores = None
+        whole: dict[str, bytes] = {}
+        for r in runs:
             parts = []
-            for w in find(whole):
+            for w in pieces.cut(r):
                 got = ids.get(w)
-                if got is None:
+                if got is None:  # a long word, or a character without a piece
                     scores = scores or {p: (i, s) for p, i, s in pieces.rows}
                     path = viterbi(w, scores, pieces.longest, pieces.unknown)
                     spelled = [[i] if i >= 0 else [pieces.bytes_ids[x] for x in w[at : at + n].encode()] for i, at, n in path]
-                    got = ids[w] = np.array([i for p in spelled for i in p], dtype=np.int32).tobytes()
+                    got = np.array([i for p in spelled for i in p], dtype=np.int32).tobytes()
                 parts.append(got)
-            texts.append(whole[1:])
-            found.append(np.frombuffer(b"".join(parts), dtype=np.int32))
+            whole[r] = b"".join(parts)
+        del ids, runs
+        texts, found = [], []
+        for value in docs.column(packed):
+            plain = _unpacked(unpack, value.as_py()) if value.is_valid else None
+            texts.append(None if plain is None else plain[1:])
+            found.append(None if plain is None else np.frombuffer(b"".join(map(whole.__getitem__, find(plain))), dtype=np.int32))
         columns = []
         for name, field in zip(names, schema):
             if name == text:
@@ -264,17 +322,18 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
         .drop(text)
         .repartition(blocks, block)
     )
-    pattern = pieces.pattern()
-    wanted = dealt.select(F.col(block), F.col(packed)).mapInArrow(_words_of_blocks(pattern, LONG), "block bigint, word string")
-    # one deal of the words serves the lattice and the answers; its parts are so small that a part's edges
-    # are sorted in memory
-    by_word = wanted.repartition(max(blocks, math.ceil(total / WORD_CHARS)), "word")
-    words = by_word.groupBy("word").agg(F.min("block").alias("b")).filter("b is not null").select("word")
-    answered = by_word.join(segment(words, pieces), "word").select("block", "word", "ids")
+    buckets = max(blocks, math.ceil(total / WORD_CHARS))
+    asked = dealt.mapInArrow(_asked(pieces, block, packed, buckets), "block bigint, bucket bigint, words binary")
+    # one deal of the lists serves the lattice and the answers
+    asked = asked.repartition(buckets, "bucket")
+    word = F.explode(F.split(_listed("words"), "\\x00")).alias("word")
+    words = asked.select("block", "bucket", word).groupBy("bucket", "word").agg(F.min("block").alias("b")).filter("b is not null").drop("b")
+    found = segment(words, pieces, ("bucket",)).select(F.col("bucket").alias("of"), "word", "ids")
+    answers = asked.groupBy("bucket").cogroup(found.groupBy("of")).applyInArrow(_answered, "block bigint, bucket bigint, sizes binary, ids binary")
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     names = [*docs.columns, ids]
-    assemble = _assembled(pattern, pieces, block, packed, text, names, to_arrow_schema(schema))
-    return dealt.groupBy(block).cogroup(answered.groupBy("block")).applyInArrow(assemble, schema)
+    assemble = _assembled(pieces, packed, text, names, to_arrow_schema(schema), buckets)
+    return dealt.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "decoded") -> DataFrame:
