@@ -213,7 +213,7 @@ def _asked(pieces: Pieces, block: str, packed: str, buckets: int):
     pattern = pieces.pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, unpack, pack = re.compile(pattern).findall, zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        find, unpack = re.compile(pattern).findall, zstandard.ZstdDecompressor()
         known = {p for p, _, _ in pieces.rows}
         seen: dict[int, set[str]] = {}
         for batch in batches:
@@ -222,28 +222,22 @@ def _asked(pieces: Pieces, block: str, packed: str, buckets: int):
                     seen.setdefault(b, set()).update(find(_unpacked(unpack, value.as_py())))
         for b in list(seen):
             lists = _lists(seen.pop(b), pieces, known, buckets)
-            data = [pack.compress("\0".join(words).encode()) for words in lists.values()]
+            data = ["\0".join(words) for words in lists.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b] * len(lists), pa.int64()), pa.array(list(lists), pa.int64()), pa.array(data, pa.binary())], ["block", "bucket", "words"]
+                [pa.array([b] * len(lists), pa.int64()), pa.array(list(lists), pa.int64()), pa.array(data, pa.string())], ["block", "bucket", "words"]
             )
 
     return run
 
 
-@F.pandas_udf(T.StringType())
-def _listed(lists: pd.Series) -> pd.Series:
-    unpack = zstandard.ZstdDecompressor()
-    return lists.map(lambda x: unpack.decompress(x).decode())
-
-
 def _answered(asked: pa.Table, found: pa.Table) -> pa.Table:
     """The ids of the words of each list, in the order of the list: how many for
     each word, and all of them."""
-    unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=3)
     ids = dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist()))
     sizes, flat = [], []
     for words in asked.column("words").to_pylist():
-        paths = [ids[w] for w in unpack.decompress(words).decode().split("\0")]
+        paths = [ids[w] for w in words.split("\0")]
         sizes.append(pack.compress(np.fromiter(map(len, paths), dtype=np.uint16, count=len(paths)).tobytes()))
         flat.append(pack.compress(np.array([i for p in paths for i in p], dtype=np.int32).tobytes()))
     return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(flat, pa.binary())})
@@ -320,13 +314,14 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
         docs.withColumn(block, F.pmod(F.xxhash64(*hashable), F.lit(blocks)))
         .withColumn(packed, _pack(F.col(quoted(text))))
         .drop(text)
-        .repartition(blocks, block)
+        # as many parts as the grouping below would be dealt into, so that it needs no further deal
+        .repartition(max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), block)
     )
     buckets = max(blocks, math.ceil(total / WORD_CHARS))
-    asked = dealt.mapInArrow(_asked(pieces, block, packed, buckets), "block bigint, bucket bigint, words binary")
+    asked = dealt.mapInArrow(_asked(pieces, block, packed, buckets), "block bigint, bucket bigint, words string")
     # one deal of the lists serves the lattice and the answers
     asked = asked.repartition(buckets, "bucket")
-    word = F.explode(F.split(_listed("words"), "\\x00")).alias("word")
+    word = F.explode(F.split("words", "\\x00")).alias("word")
     words = asked.select("block", "bucket", word).groupBy("bucket", "word").agg(F.min("block").alias("b")).filter("b is not null").drop("b")
     found = segment(words, pieces, ("bucket",)).select(F.col("bucket").alias("of"), "word", "ids")
     answers = asked.groupBy("bucket").cogroup(found.groupBy("of")).applyInArrow(_answered, "block bigint, bucket bigint, sizes binary, ids binary")
