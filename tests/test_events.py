@@ -76,9 +76,8 @@ def test_whitelist_cases(spark):
     want = {i for i, c in enumerate(cases) if not c[3]}
     assert {r.seq for r in whitelist.apply_whitelist(df, trusted).collect()} == want
     rules = whitelist.whitelist_rules(spark, trusted)
-    for limit in (0, 1000):
-        kept = whitelist.drop_whitelisted(whitelist.drop_trusted_sources(df, trusted), rules, limit)
-        assert {r.seq for r in kept.collect()} == want
+    kept = whitelist.drop_whitelisted(whitelist.drop_trusted_sources(df, trusted), rules)
+    assert {r.seq for r in kept.collect()} == want
 
 
 def test_additions_are_not_repeated(spark):

@@ -55,8 +55,8 @@ def ipv4_number(ip: Column) -> Column:
 
 
 def hash_bucket(value: Column, buckets: int = 10_000) -> Column:
-    """Stable bucket of a categorical value; empty values share bucket 0."""
+    """Stable bucket of a categorical value, from the leading digits of its MD5, so
+    that other engines give the same; empty values share bucket 0."""
     text = value.cast("string")
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0).cast("bigint")).otherwise(
-        F.pmod(F.xxhash64(text), F.lit(buckets))
-    )
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0).cast("bigint")).otherwise(F.pmod(number, F.lit(buckets)))

@@ -37,16 +37,21 @@ def drop_flagged(raw: DataFrame) -> DataFrame:
     return raw.filter(~is_flagged())
 
 
-def line_counts(raw: DataFrame) -> DataFrame:
-    """One row: lines by fate."""
+def line_metrics() -> list[Column]:
+    """Lines by fate, as aggregates: for a pass of their own, or observed on the way."""
     usable = ~is_malformed() & ~is_flagged()
-    return raw.agg(
+    return [
         F.count(F.lit(1)).alias("total_entries"),
         F.count_if(is_malformed()).alias("malformed"),
         F.count_if(~is_malformed() & is_flagged()).alias("flagged"),
         F.count_if(usable & ~is_known()).alias("ignored"),
         F.count_if(usable & is_known()).alias("processed_events"),
-    )
+    ]
+
+
+def line_counts(raw: DataFrame) -> DataFrame:
+    """One row: lines by fate."""
+    return raw.agg(*line_metrics())
 
 
 def dns_answers() -> Column:

@@ -414,7 +414,13 @@ def _(spark, sf_dir):
     return features.align_features(s, ["dest_port", "duration", "total_fwd_bytes"])
 
 
-@query("hash_bucket")
+@query(
+    "hash_bucket",
+    _with(
+        sql.FE,
+        "SELECT proto, CASE WHEN dst_ip = '' THEN 0 ELSE ('0x' || substr(md5(dst_ip), 1, 15))::BIGINT % 10000 END AS bucket, count(*) AS count FROM fe GROUP BY ALL",
+    ),
+)
 def _(spark, sf_dir):
     from wireloom.functions.scalars import hash_bucket
 
