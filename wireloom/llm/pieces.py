@@ -8,10 +8,10 @@ is the segmentation with the highest sum of scores; of equal sums the one whose
 last differing piece is longer.
 
 A word here is a run of spaces with the characters after it that occur in
-pieces of several characters, cut wherever two neighbours are neighbours in no
-piece; every other character stands alone. No piece crosses such a border (the
-table is refused if one does), so words can be segmented one by one. Characters
-without a piece become byte pieces.
+pieces of several characters, up to a sign that follows a letter or digit in no
+piece, like most commas; every other character stands alone. No piece crosses
+such a border (the table is refused if one does), so words can be segmented one
+by one. Characters without a piece become byte pieces.
 
 Documents are dealt into blocks of bounded size by a hash. Each block asks for
 its distinct words once, in packed lists dealt by a hash of the word, gets lists
@@ -47,7 +47,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Pieces in a table at most; the table is broadcast.
 MAX_PIECES = 1_000_000
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 12_000_000
 #: Characters of text for each part into which the distinct words are dealt.
 WORD_CHARS = 2_000_000
 LONG = 1024
@@ -60,21 +60,21 @@ class Pieces(NamedTuple):
     unknown: float  # score of a character without a piece
     longest: int
     inner: str  # characters that occur in pieces of several characters
-    pairs: frozenset[str]  # neighbours in some piece
+    breaks: str  # those of them, no letters or digits, that follow one in no piece
 
     def pattern(self) -> str:
-        inner = "".join(re.escape(c) for c in self.inner)
-        return f"\x20*[{inner}]+|\x20+|[^\x20{inner}]" if inner else "\x20+|[^\x20]"
-
-    def cut(self, run: str) -> list[str]:
-        """The words of a run that ``pattern`` finds."""
-        out, start = [], 0
-        for i in range(1, len(run)):
-            if run[i - 1 : i + 1] not in self.pairs:
-                out.append(run[start:i])
-                start = i
-        out.append(run[start:])
-        return out
+        """Finds the words of a text, one after the other."""
+        some = lambda chars: "".join(re.escape(c) for c in chars)
+        plain = some(c for c in self.inner if c.isalnum())
+        joins = some(c for c in self.inner if not c.isalnum() and c not in self.breaks)
+        signs = some(c for c in self.inner if not c.isalnum())
+        found = ["\x20+", f"[^\x20{some(self.inner)}]"]
+        if signs:
+            found.insert(0, f"\x20*[{signs}]+")
+        if plain:
+            more = f"(?:[{joins}][{signs}]*[{plain}]*)*" if joins else ""
+            found.insert(0, f"\x20*{f'[{signs}]*' if signs else ''}[{plain}]+{more}")
+        return "|".join(found)
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -106,9 +106,10 @@ def table(rows: list[tuple[str, int, float]], bytes_ids: list[int]) -> Pieces:
     if any(re.search(r"[^\x20]\x20", p) or "\0" in p for p, _, _ in rows):
         raise ValueError("a piece has a space behind other characters, or the character that parts words in lists")
     inner = sorted({c for p, _, _ in rows if len(p) > 1 for c in p} - {" "})
-    pairs = frozenset(p[i : i + 2] for p, _, _ in rows for i in range(len(p) - 1))
+    follows = {p[i + 1] for p, _, _ in rows for i in range(len(p) - 1) if p[i].isalnum()}
+    breaks = "".join(c for c in inner if not c.isalnum() and c not in follows)
     unknown = min((s for _, _, s in rows), default=0.0) - UNKNOWN_PENALTY
-    return Pieces(rows, bytes_ids, unknown, max((len(p) for p, _, _ in rows), default=1), "".join(inner), pairs)
+    return Pieces(rows, bytes_ids, unknown, max((len(p) for p, _, _ in rows), default=1), "".join(inner), breaks)
 
 
 def viterbi(word: str, scores: dict[str, tuple[int, float]], longest: int, unknown: float) -> list[tuple[int, int, int]]:
@@ -197,11 +198,11 @@ def segment(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ()) -> DataF
     return folded.select(*by, "word", F.flatten(F.transform("path", spelled)).alias("ids"))
 
 
-def _lists(runs: set[str], pieces: Pieces, known: set[str], buckets: int) -> dict[int, list[str]]:
+def _lists(found: set[str], known: set[str], buckets: int) -> dict[int, list[str]]:
     """The words to ask for, sorted, by the bucket of their hash: not those that
     are longer than ``LONG``, nor single characters without a piece."""
     out: dict[int, list[str]] = {}
-    for w in {w for run in runs for w in pieces.cut(run)}:
+    for w in found:
         if len(w) <= LONG and (len(w) > 1 or w in known):
             out.setdefault(xxhash.xxh3_64_intdigest(w.encode()) % buckets, []).append(w)
     for words in out.values():
@@ -221,7 +222,7 @@ def _asked(pieces: Pieces, block: str, packed: str, buckets: int):
                 if value.is_valid:
                     seen.setdefault(b, set()).update(find(_unpacked(unpack, value.as_py())))
         for b in list(seen):
-            lists = _lists(seen.pop(b), pieces, known, buckets)
+            lists = _lists(seen.pop(b), known, buckets)
             data = ["\0".join(words) for words in lists.values()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b] * len(lists), pa.int64()), pa.array(list(lists), pa.int64()), pa.array(data, pa.string())], ["block", "bucket", "words"]
@@ -258,32 +259,25 @@ def _assembled(pieces: Pieces, packed: str, text: str, names: list[str], schema:
         for value in docs.column(packed):
             if value.is_valid:
                 runs.update(find(_unpacked(unpack, value.as_py())))
-        lists = _lists(runs, pieces, known, buckets)
+        lists = _lists(runs, known, buckets)
         ids: dict[str, bytes] = {}
         for bucket, sizes, flat in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "ids"))):
             data, ends = unpack.decompress(flat), 4 * np.cumsum(np.frombuffer(unpack.decompress(sizes), dtype=np.uint16), dtype=np.int64)
             start = 0
             for w, end in zip(lists.pop(bucket), ends.tolist()):
                 ids[w], start = data[start:end], end
-        scores = None
-        whole: dict[str, bytes] = {}
-        for r in runs:
-            parts = []
-            for w in pieces.cut(r):
-                got = ids.get(w)
-                if got is None:  # a long word, or a character without a piece
-                    scores = scores or {p: (i, s) for p, i, s in pieces.rows}
-                    path = viterbi(w, scores, pieces.longest, pieces.unknown)
-                    spelled = [[i] if i >= 0 else [pieces.bytes_ids[x] for x in w[at : at + n].encode()] for i, at, n in path]
-                    got = np.array([i for p in spelled for i in p], dtype=np.int32).tobytes()
-                parts.append(got)
-            whole[r] = b"".join(parts)
-        del ids, runs
+        scores: dict[str, tuple[int, float]] = {}
+        for w in runs - ids.keys():  # long words, and characters without a piece
+            scores = scores or {p: (i, s) for p, i, s in pieces.rows}
+            path = viterbi(w, scores, pieces.longest, pieces.unknown)
+            spelled = [[i] if i >= 0 else [pieces.bytes_ids[x] for x in w[at : at + n].encode()] for i, at, n in path]
+            ids[w] = np.array([i for p in spelled for i in p], dtype=np.int32).tobytes()
+        del runs
         texts, found = [], []
         for value in docs.column(packed):
             plain = _unpacked(unpack, value.as_py()) if value.is_valid else None
             texts.append(None if plain is None else plain[1:])
-            found.append(None if plain is None else np.frombuffer(b"".join(map(whole.__getitem__, find(plain))), dtype=np.int32))
+            found.append(None if plain is None else np.frombuffer(b"".join(map(ids.__getitem__, find(plain))), dtype=np.int32))
         columns = []
         for name, field in zip(names, schema):
             if name == text:
