@@ -47,7 +47,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Pieces in a table at most; the table is broadcast.
 MAX_PIECES = 1_000_000
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 #: Characters of text for each part into which the distinct words are dealt.
 WORD_CHARS = 2_000_000
 LONG = 1024
