@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wireloom.operators import behavior, models, normalize, scoring, zero_byte
 from wireloom.operators.features import session_features
@@ -77,13 +77,12 @@ def analyze_events(
 
 
 def analyze_log(spark: SparkSession, path: str, detector: Detector, **options) -> Analysis:
-    seen = Observation("lines")
-    raw = read_events(spark, path).observe(seen, *normalize.line_metrics())
+    raw = read_events(spark, path)
     events = normalize.normalize_events(normalize.drop_flagged(raw))
     stored = materialize(events, "events")
-    lines = spark.createDataFrame([tuple(seen.get.values())], ", ".join(f"{n} bigint" for n in seen.get))
+    # counted by a pass of its own: a session that has observed anything can't ship MLlib's models to tasks
     sessions, vectors, results = analyze_events(stored, detector, **options)
-    return Analysis(lines, sessions, vectors, results)
+    return Analysis(normalize.line_counts(raw), sessions, vectors, results)
 
 
 def run_summary(lines: DataFrame, results: DataFrame) -> DataFrame:
