@@ -118,3 +118,30 @@ def test_scaler_uses_the_population_deviation(spark):
     assert scaler["x"] == pytest.approx((2.5, 1.118033988)) and scaler["c"] == (5.0, 1.0)
     base = prep.build_baseline(df, ["x"])["x"]
     assert base["std"] == pytest.approx(1.290994448) and (base["q1"], base["median"], base["q3"]) == (1.75, 2.5, 3.25)
+
+
+def test_grid_search_covers_the_whole_grid(spark, monkeypatch):
+    from wireloom.operators import models
+    from wireloom.plans import registry
+
+    class Searched:
+        """The search without its fits."""
+
+        def __init__(self, estimator, estimatorParamMaps, numFolds, **_):
+            assert numFolds == 3
+            self.booster, self.grid = estimator, estimatorParamMaps
+            self.avgMetrics = [0.5] * len(estimatorParamMaps)
+
+        def fit(self, rows):
+            return self
+
+        def getEstimator(self):
+            return self.booster
+
+        def getEstimatorParamMaps(self):
+            return self.grid
+
+    monkeypatch.setattr(models, "CrossValidator", Searched)
+    rows = registry.QUERIES["grid_search"](spark, "/root/testdata/sf0.001").collect()
+    whole = {(d, n, s) for d in (6, 9, 12) for n in (100, 150) for s in (0.05, 0.1, 0.2)}
+    assert len(rows) == 18 and {(r.max_depth, r.max_iter, r.step_size) for r in rows} == whole

@@ -1163,14 +1163,13 @@ def _(spark, sf_dir):
     """Cross-validated grid over boosted trees, macro F1 per combination."""
     scaled, _ = _scaled(spark, sf_dir)
     vectors = models.assemble(scaled, BASE_FEATURES)
-    tuned = models.tune_boosted_trees(
-        vectors, "record_id", "label", depths=(2, 3), rounds=(2,), steps=(0.1,), folds=3
-    )
+    tuned = models.tune_boosted_trees(vectors, "record_id", "label")
+    booster = tuned.getEstimator()
     rows = [
-        (int(p[tuned.getEstimator().maxDepth]), float(m))
+        (int(p[booster.maxDepth]), int(p[booster.maxIter]), float(p[booster.stepSize]), float(m))
         for p, m in zip(tuned.getEstimatorParamMaps(), tuned.avgMetrics)
     ]
-    return spark.createDataFrame(rows, "max_depth int, macro_f1 double")
+    return spark.createDataFrame(rows, "max_depth int, max_iter int, step_size double, macro_f1 double")
 
 
 STREAM_SQL = sql.EV + sql.sessions()
