@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,3 +75,30 @@ def personal(text):
     out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
     out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
     return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15]
+
+
+def trie(rows: list[tuple]) -> list[tuple]:
+    """Nodes of rebuilt conversations ``(conv, turn, role, text)``, from all beginnings of all of them."""
+    turns: dict[int, list] = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            turns.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in turns.items()}
+    members: dict[tuple, list[int]] = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        whole = tuple(own.get(c - c % 100, [])[:h] + own[c][h:])
+        for d in range(len(whole) + 1):
+            members.setdefault((whole[:d], len(whole) == d), []).append(c)
+    nodes = {p for p, _ in members}
+    convs = {p: sorted(members.get((p, True), []) + members.get((p, False), [])) for p in nodes}
+    out = []
+    for p in nodes:
+        below = [q for q in nodes if q[: len(p)] == p]
+        inner = {q[:-1] for q in below if q}
+        saved = sum((len(convs[q]) - 1) * len(q[-1][1]) for q in below if q)
+        ends = hashlib.sha256(",".join(map(str, sorted(members.get((p, True), [])))).encode()).hexdigest()
+        children = sum(len(q) == len(p) + 1 for q in below)
+        parent = convs[p[:-1]][0] if p else None
+        out.append((convs[p][0], len(p), parent, len(convs[p]), children, sum(q not in inner for q in below), saved, ends))
+    return sorted(out)

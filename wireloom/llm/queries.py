@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wireloom.llm import conversations, embeddings, language, minhash, mixing, pieces, pii, quality, url_rules, warc
+from wireloom.llm import (
+    ball_tree,
+    conversations,
+    embeddings,
+    language,
+    minhash,
+    mixing,
+    pieces,
+    pii,
+    prefix_trie,
+    quality,
+    token_files,
+    url_rules,
+    warc,
+)
+from wireloom.sources.staging import staging_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +103,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_path(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), path)
+    rows = token_files.read(spark, path)
+    return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", token_files.checksum(F.col("ids")).alias("ids_crc32"))
+
+
+def op13_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -99,6 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_files": op12_token_files,
+    "op13_ball_tree_search": op13_ball_tree_search,
 }
 SQL: dict[str, str] = {
     "op2_url_filters": """
@@ -131,4 +164,58 @@ SQL: dict[str, str] = {
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM hashed JOIN firsts USING (payload)
     """,
+    "op11_prefix_trie": """
+        WITH crc_table AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+                lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS of_byte
+        ), own AS (
+            SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), hashed AS (
+            SELECT own.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(c::VARCHAR)), lambda i: ascii(substr(c::VARCHAR, i + 1, 1))::BIGINT)),
+                lambda s, b: xor(s // 256, of_byte[xor(s % 256, b) + 1])), 4294967295) % 6 AS h
+            FROM own, crc_table
+        ), rebuilt AS (
+            SELECT a.c, list_concat(coalesce(list_slice(b.turns, 1, a.h), []), list_slice(a.turns, a.h + 1, len(a.turns))) AS turns
+            FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % 100
+        ), beginnings AS (
+            SELECT c, d, list_slice(turns, 1, d) AS node, d = len(turns) AS ends, coalesce(length(turns[d].text), 0) AS chars
+            FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+        ), nodes AS (
+            SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+            FROM beginnings GROUP BY node, d
+        ), linked AS (
+            SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = list_slice(n.node, 1, n.d - 1)
+        ), children AS (
+            SELECT list_slice(node, 1, d - 1) AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+        ), below AS (
+            SELECT list_slice(node, 1, up) AS node, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (n_children IS NULL) AS leaves
+            FROM (SELECT n.*, c.n_children, unnest(range(n.d + 1)) AS up FROM nodes n LEFT JOIN children c USING (node)) GROUP BY ALL
+        )
+        SELECT conv_id, d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves,
+               saved::BIGINT AS saved_tokens, ends_sha256
+        FROM linked LEFT JOIN children USING (node) JOIN below USING (node)
+    """,
+    "op13_ball_tree_search": r"""
+        WITH found AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), tf AS (SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+        sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+        corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus
+            WHERE term IN (SELECT term FROM asked) GROUP BY term, docs
+        ), scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+            FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), corpus GROUP BY ALL
+        ), ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+        )
+        SELECT * FROM ranked WHERE rank <= 50
+    """,
 }
