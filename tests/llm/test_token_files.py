@@ -62,11 +62,11 @@ def test_round_trip_through_the_files(spark, library, tmp_path):
     texts = [(i, " ".join(random.choice(["some", "words", "of\nit,", "x" * 40]) for _ in range(random.randint(0, 60)))) for i in range(300)]
     texts += [(300, None), (301, ""), (None, "no id"), (None, None), (7, "again"), (7, "again"), (302, "long words " * 30_000)]
     random.shuffle(texts)
-    check(spark, library, tmp_path, rows_of(texts), part_chars=5_000)
+    check(spark, library, tmp_path, rows_of(texts), part_bytes=5_000)
 
 
 def test_a_third_of_all_rows_share_an_id(spark, library, tmp_path):
-    check(spark, library, tmp_path, rows_of([(5, f"text {i}") for i in range(200)] + [(i, "t") for i in range(400)]), part_chars=300)
+    check(spark, library, tmp_path, rows_of([(5, f"text {i}") for i in range(200)] + [(i, "t") for i in range(400)]), part_bytes=300)
 
 
 def test_an_empty_table(spark, tmp_path):

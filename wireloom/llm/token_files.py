@@ -47,12 +47,12 @@ from wireloom.sources.staging import materialize
 END_ID = 0
 #: What the shorter way for plain words relies on; with another one every piece goes through the library as it is.
 PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-#: Characters of text in one file, on average.
-PART_CHARS = 24_000_000
+#: Bytes of text in one file, on average.
+PART_BYTES = 24_000_000
 STRIPE_BYTES = 8 << 20
 ROWS_PER_INDEX = 1_000
-#: Words remembered by a Python worker, over all its tasks; beyond that it forgets all and goes on.
-MEMORY = 1_000_000
+#: Pieces remembered by a Python worker, over all its tasks; beyond that it forgets all and goes on.
+MEMORY = 800_000
 BATCH_IDS = 2_000_000
 
 #: White space in other tables than Python's.
@@ -64,6 +64,7 @@ _PLAIN = re.compile(f"([{_LETTERS}]*)([{_SIGNS}]*)(?:(?<=.)\n([{_LETTERS}]+)([{_
 #: The characters that stand for bytes in the vocabulary: printable ones for themselves, the rest from U+0100 on
 #: (so U+0120 for a space).
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_NO_PLAIN_LETTER = "\u0180"
 _AS_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
 
 
@@ -102,43 +103,55 @@ class Encoder(dict):
         super().__init__()
         self.library = Tokenizer.from_file(model)
         self.merges = self.library.model.tokenize
-        self.words: dict[str, bytes] = {}
-        self.plain = _PLAIN if json.loads(self.library.to_str())["pre_tokenizer"] == PRE_TOKENIZER else lambda piece: None
+        #: Letters or signs that follow another kind without a space.
+        self.bare: dict[str, bytes] = {}
+        self.plain = json.loads(self.library.to_str())["pre_tokenizer"] == PRE_TOKENIZER
 
     def _library(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """The ids of a string that the tokenizer doesn't cut."""
-        found = self.words.get(word)
+    def _merged(self, word: str, lead: str) -> bytes:
+        """The ids of a string that the tokenizer doesn't cut; ``lead`` comes first."""
+        chars = word if word.isascii() and word != "\n" else "".join([_AS_CHARS[b] for b in word.encode()])
+        return array("I", [t.id for t in self.merges(lead + chars)]).tobytes()
+
+    def _bare(self, word: str) -> bytes:
+        found = self.bare.get(word)
         if found is None:
-            chars = word.replace(" ", "\u0120") if word.isascii() and word != "\n" else "".join([_AS_CHARS[b] for b in word.encode()])
-            found = self.words[word] = array("I", [t.id for t in self.merges(chars)]).tobytes()
+            found = self.bare[word] = self._merged(word, "")
         return found
 
     def __missing__(self, piece: str) -> bytes | None:
-        plain = self.plain(piece)
-        if plain and piece:
-            letters, signs, more, signs_behind = plain.groups()
+        if not self.plain:
+            out = None if ends_in_white(piece) else self._library(" " + piece)
+        elif piece.isalpha() and max(piece) < _NO_PLAIN_LETTER:
+            out = self._merged(piece, _AS_CHARS[32])
+        elif piece and (parts := _PLAIN(piece)):
+            letters, signs, more, signs_behind = parts.groups()
             if letters:
-                out = self._word(" " + letters) + (self._word(signs) if signs else b"")
+                out = self[letters] + (self._bare(signs) if signs else b"")
             else:
-                out = self._word(" " + signs)
+                out = self._merged(signs, _AS_CHARS[32])
             if more is not None:
-                out += self._word("\n") + self._word(more) + (self._word(signs_behind) if signs_behind else b"")
+                out += self._bare("\n") + self._bare(more) + (self._bare(signs_behind) if signs_behind else b"")
         else:
             out = None if ends_in_white(piece) else self._library(" " + piece)
         self[piece] = out
         return out
 
+    def _first(self, piece: str) -> bytes:
+        if self.plain and piece.isalpha() and max(piece) < _NO_PLAIN_LETTER:
+            return self._bare(piece)
+        return self._library(piece)
+
     def encode(self, text: str) -> bytes:
-        if len(self) + len(self.words) > MEMORY:
+        if len(self) + len(self.bare) > MEMORY:
             self.clear()
-            self.words.clear()
+            self.bare.clear()
         first, *rest = text.split(" ")
         if not ends_in_white(first):
             try:
-                return self._library(first) + b"".join(map(self.__getitem__, rest))
+                return self._first(first) + b"".join(map(self.__getitem__, rest))
             except TypeError:  # a run of white space
                 pass
         first, *rest = pieces_of(text)
@@ -188,11 +201,11 @@ def _tokenize(model: str, end_id: int, id_type: pa.DataType):
     return run
 
 
-def write(docs: DataFrame, path: str, model: str | None = None, end_id: int = END_ID, id: str = "doc_id", text: str = "text", part_chars: int = PART_CHARS) -> None:
+def write(docs: DataFrame, path: str, model: str | None = None, end_id: int = END_ID, id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> None:
     """Writes the ids of ``docs`` below ``path``, a folder that all machines share."""
     narrow = docs.select(F.col(quoted(id)).alias("id"), F.col(quoted(text)).alias("text"))
-    total = narrow.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    parts = max(1, math.ceil(total / part_chars))
+    total = narrow.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    parts = max(1, math.ceil(total / part_bytes))
     key = narrow.schema["id"].dataType
     # rows of one id may fill several ranges: the hash of the text and the row's place in the scan order them
     order = ["id", "_hash", "_row"]
