@@ -51,10 +51,11 @@ def test_artifacts_round_trip_and_the_booster_is_optional(spark, trained, tmp_pa
     assert importance[0].feature == "flow_bytes_per_sec"
 
 
-def test_macro_f1(spark):
-    df = spark.createDataFrame([(0, 0)] * 6 + [(0, 1)] * 2 + [(1, 1)] * 1 + [(1, 0)] * 1, "Label int, prediction int")
+def test_macro_f1_of_the_grid(spark):
+    counts = [(6, 100, 0.1, 0, 0, 0, 6), (6, 100, 0.1, 0, 0, 1, 2), (6, 100, 0.1, 0, 1, 1, 1), (6, 100, 0.1, 0, 1, 0, 1), (6, 100, 0.1, 1, 0, 0, 5)]
+    df = spark.createDataFrame(counts, "depth int, rounds int, step double, fold int, label int, prediction int, n bigint")
     f0, f1 = 2 * 6 / (8 + 7), 2 * 1 / (2 + 3)
-    assert models.MacroF1().evaluate(df) == pytest.approx((f0 + f1) / 2)
+    assert models.grid_scores(df).first().macro_f1 == pytest.approx(((f0 + f1) / 2 + 1.0) / 2)
 
 
 @pytest.fixture(scope="module")

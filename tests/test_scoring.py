@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -124,24 +125,15 @@ def test_grid_search_covers_the_whole_grid(spark, monkeypatch):
     from wireloom.operators import models
     from wireloom.plans import registry
 
-    class Searched:
-        """The search without its fits."""
+    asked = {}
 
-        def __init__(self, estimator, estimatorParamMaps, numFolds, **_):
-            assert numFolds == 3
-            self.booster, self.grid = estimator, estimatorParamMaps
-            self.avgMetrics = [0.5] * len(estimatorParamMaps)
+    def search(train, id_column, label, **cut):
+        asked.update(inspect.signature(tuned).bind(train, id_column, label, **cut).arguments)
+        return models.Tuned(None, {}, spark.createDataFrame([(6, 100, 0.1, 0.5)], "depth int, rounds int, step double, macro_f1 double"), None)
 
-        def fit(self, rows):
-            return self
-
-        def getEstimator(self):
-            return self.booster
-
-        def getEstimatorParamMaps(self):
-            return self.grid
-
-    monkeypatch.setattr(models, "CrossValidator", Searched)
-    rows = registry.QUERIES["grid_search"](spark, "/root/testdata/sf0.001").collect()
-    whole = {(d, n, s) for d in (6, 9, 12) for n in (100, 150) for s in (0.05, 0.1, 0.2)}
-    assert len(rows) == 18 and {(r.max_depth, r.max_iter, r.step_size) for r in rows} == whole
+    tuned = models.tune_boosted_trees
+    monkeypatch.setattr(models, "tune_boosted_trees", search)
+    assert len(registry.QUERIES["grid_search"](spark, "/root/testdata/sf0.001").collect()) == 1
+    assert set(asked) == {"train", "id_column", "label"}  # nothing smaller than the defaults
+    default = {k: p.default for k, p in inspect.signature(tuned).parameters.items()}
+    assert (default["depths"], default["rounds"], default["steps"], default["folds"]) == ((6, 9, 12), (100, 150), (0.05, 0.1, 0.2), 3)

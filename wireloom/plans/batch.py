@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wireloom.operators import behavior, models, normalize, scoring, zero_byte
+from wireloom.operators import behavior, models, normalize, scoring, trees, zero_byte
 from wireloom.operators.features import session_features
 from wireloom.operators.sessions import SESSION_KEY, session_metrics, sessionize
 from wireloom.operators.whitelist import TrustedServices, apply_whitelist
@@ -23,6 +23,10 @@ class Detector:
     scaler: dict[str, tuple[float, float]] = field(default_factory=dict)
     baseline: dict[str, dict[str, float]] = field(default_factory=dict)
 
+    def as_expressions(self) -> Detector:
+        """The same detector without model objects in its plans, for sessions that observe metrics."""
+        return Detector({name: trees.compiled(m) for name, m in self.models.items()}, self.scaler, self.baseline)
+
 
 @dataclass
 class Analysis:

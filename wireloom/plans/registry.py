@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wireloom.functions.scalars import timestamp_of, timestamp_or_epoch
 from wireloom.operators import alerts, behavior, features, models, normalize, prep, running, scoring, sessions
-from wireloom.operators import whitelist, zero_byte
+from wireloom.operators import trees, whitelist, zero_byte
 from wireloom.operators.behavior import APP_COUNTERS, FEATURES, SLIDING
 from wireloom.operators.features import BASE_FEATURES
 from wireloom.operators.sessions import COUNTS, LISTS, SESSION_KEY
@@ -1163,13 +1163,57 @@ def _(spark, sf_dir):
     """Cross-validated grid over boosted trees, macro F1 per combination."""
     scaled, _ = _scaled(spark, sf_dir)
     vectors = models.assemble(scaled, BASE_FEATURES)
-    tuned = models.tune_boosted_trees(vectors, "record_id", "label")
-    booster = tuned.getEstimator()
-    rows = [
-        (int(p[booster.maxDepth]), int(p[booster.maxIter]), float(p[booster.stepSize]), float(m))
-        for p, m in zip(tuned.getEstimatorParamMaps(), tuned.avgMetrics)
-    ]
-    return spark.createDataFrame(rows, "max_depth int, max_iter int, step_size double, macro_f1 double")
+    return models.tune_boosted_trees(vectors, "record_id", "label").scores.select(
+        F.col("depth").alias("max_depth"), F.col("rounds").alias("max_iter"), F.col("step").alias("step_size"), "macro_f1"
+    )
+
+
+# --- fixed values: a small forest over three of the base features; leaves have feature -1 ---
+# tree, weight, node, feature, threshold, left, right, value, gain, rows
+FOREST = [
+    (0, 1.0, 0, 0, 100.0, 1, 2, 0.0, 0.30, 900.0),
+    (0, 1.0, 1, 6, 2500.0, 3, 4, 0.0, 0.10, 500.0),
+    (0, 1.0, 2, -1, 0.0, -1, -1, 0.9, 0.0, 400.0),
+    (0, 1.0, 3, -1, 0.0, -1, -1, 0.125, 0.0, 300.0),
+    (0, 1.0, 4, -1, 0.0, -1, -1, 0.75, 0.0, 200.0),
+    (1, 1.0, 0, 8, 1.5, 1, 2, 0.0, 0.05, 900.0),
+    (1, 1.0, 1, -1, 0.0, -1, -1, 0.2, 0.0, 450.0),
+    (1, 1.0, 2, 0, 440.0, 3, 4, 0.0, 0.20, 450.0),
+    (1, 1.0, 3, -1, 0.0, -1, -1, 0.55, 0.0, 250.0),
+    (1, 1.0, 4, -1, 0.0, -1, -1, 1.0, 0.0, 200.0),
+    (2, 1.0, 0, -1, 0.0, -1, -1, 0.5, 0.0, 900.0),
+]
+FOREST_SQL = """nodes(tree, weight, node, feature, threshold, l, r, value, gain, n) AS (VALUES
+    (0, 1.0, 0, 0, 100.0, 1, 2, 0.0, 0.30, 900.0), (0, 1.0, 1, 6, 2500.0, 3, 4, 0.0, 0.10, 500.0),
+    (0, 1.0, 2, -1, 0.0, -1, -1, 0.9, 0.0, 400.0), (0, 1.0, 3, -1, 0.0, -1, -1, 0.125, 0.0, 300.0),
+    (0, 1.0, 4, -1, 0.0, -1, -1, 0.75, 0.0, 200.0), (1, 1.0, 0, 8, 1.5, 1, 2, 0.0, 0.05, 900.0),
+    (1, 1.0, 1, -1, 0.0, -1, -1, 0.2, 0.0, 450.0), (1, 1.0, 2, 0, 440.0, 3, 4, 0.0, 0.20, 450.0),
+    (1, 1.0, 3, -1, 0.0, -1, -1, 0.55, 0.0, 250.0), (1, 1.0, 4, -1, 0.0, -1, -1, 1.0, 0.0, 200.0),
+    (2, 1.0, 0, -1, 0.0, -1, -1, 0.5, 0.0, 900.0))"""
+
+
+@query(
+    "tree_scores",
+    _with(
+        sql.TR + f""",
+{FOREST_SQL},
+steps AS (
+    SELECT record_id, tree, CASE WHEN feature < 0 THEN 0 WHEN CASE feature WHEN 0 THEN dest_port WHEN 6 THEN flow_bytes_per_sec ELSE down_up_ratio END
+        <= threshold THEN l ELSE r END AS a, value
+    FROM cl, nodes WHERE node = 0),
+deeper AS (
+    SELECT s.record_id, s.tree, CASE WHEN n.feature < 0 THEN n.node WHEN CASE n.feature WHEN 0 THEN dest_port WHEN 6 THEN flow_bytes_per_sec
+        ELSE down_up_ratio END <= n.threshold THEN n.l ELSE n.r END AS b
+    FROM steps s JOIN cl USING (record_id) JOIN nodes n ON n.tree = s.tree AND n.node = s.a)""",
+        """SELECT d.record_id, round(CAST(avg(n.value) AS DOUBLE), 9) AS rf_confidence, CAST(avg(n.value) > 0.5 AS INTEGER) AS rf_prediction
+        FROM deeper d JOIN nodes n ON n.tree = d.tree AND n.node = d.b GROUP BY d.record_id""",
+    ),
+)
+def _(spark, sf_dir):
+    """A table of nodes, scored by expressions over every training row."""
+    forest = trees.compile_nodes(spark.createDataFrame(FOREST, trees.NODES), booster=False)
+    scored = trees.predict(_training(spark, sf_dir), forest, [F.col(c) for c in BASE_FEATURES], "rf")
+    return scored.select("record_id", F.round("rf_confidence", 9).alias("rf_confidence"), "rf_prediction")
 
 
 STREAM_SQL = sql.EV + sql.sessions()
