@@ -170,7 +170,14 @@ def segment(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ()) -> DataF
     spark = words.sparkSession
     known = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
     starts = words.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("word"))))
-    reach = F.least(F.lit(pieces.longest), F.length("word") - F.col("start") + 1)
+    # no piece that begins with these two characters is longer
+    longest: dict[str, int] = {}
+    for piece, _, _ in pieces.rows:
+        if len(piece) > 1:
+            longest[piece[:2]] = max(longest.get(piece[:2], 0), len(piece))
+    openings = spark.createDataFrame(list(longest.items()), "opening string, longest int")
+    starts = starts.join(F.broadcast(openings), F.expr("substring(word, start, 2) = opening"), "left")
+    reach = F.least(F.coalesce("longest", F.lit(1)), F.length("word") - F.col("start") + 1)
     spans = starts.withColumn("length", F.explode(F.sequence(F.lit(1), reach)))
     # a substring that isn't a piece is no edge, but for single characters
     matched = spans.join(F.broadcast(known), F.expr("substring(word, start, length) = piece"), "left").filter("id is not null or length = 1")
@@ -288,7 +295,13 @@ def _assembled(pieces: Pieces, packed: str, text: str, names: list[str], schema:
                 columns.append(docs.column(name).cast(field.type))
         return pa.Table.from_arrays(columns, schema=schema)
 
-    return run
+    def tidy(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        try:
+            return run(docs, answers)
+        finally:  # what a block took stands next to the executor's heap, so it is given back
+            pa.default_memory_pool().release_unused()
+
+    return tidy
 
 
 @F.pandas_udf(T.BinaryType())
@@ -338,16 +351,12 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "
         p.piece.replace(SPACE, " ").encode() if p.type in (kind.NORMAL, kind.USER_DEFINED) else bytes([int(p.piece[1:-1], 16)]) if p.type == kind.BYTE else b""
         for p in proto.pieces
     ]
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for row in batch:
-                whole = b"" if row is None else b"".join([parts[i] for i in row.tolist()])
-                out.append(None if row is None else whole.removeprefix(b" ").decode("utf-8", "replace"))
-            yield pd.Series(out, dtype=object)
-
-    return encoded.withColumn(to, F.pandas_udf(run, T.StringType())(F.col(quoted(ids))))
+    # bytes as pairs of hexadecimal digits: a character's bytes may come from several pieces; one constant of the plan
+    table = F.split(F.lit(",".join(p.hex() for p in parts)), ",")
+    whole = F.array_join(F.transform(F.col(quoted(ids)), lambda i: F.get(table, i)), "")
+    # the space that was put before the text
+    plain = F.when(whole.startswith("20"), F.substr(whole, F.lit(3))).otherwise(whole)
+    return encoded.withColumn(to, F.make_valid_utf8(F.unhex(plain).cast("string")))
 
 
 ship(__name__)
