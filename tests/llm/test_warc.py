@@ -6,6 +6,7 @@ import struct
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from wireloom.llm import warc
 
@@ -99,3 +100,12 @@ def test_packages_without_index_and_plain_archives(spark, tmp_path):
         z.writestr("data/other.warc", plain)
     rows = warc.read_packages(spark.createDataFrame([(path,)], "path string")).collect()
     assert sorted((r.page_id, bytes(r.payload)) for r in rows) == [(i, b"p%d" % i) for i in range(4)]
+
+
+def test_the_bytes_decide_how_many_tasks_read(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 20_000)
+    monkeypatch.setattr(warc, "RANGE_BYTES", 5_000)
+    pages = spark.range(400).selectExpr("id as page_id", "concat('http://a.org/', id) as url", "repeat(sha2(cast(id as string), 512), 3) as html")
+    records = warc.read_packages(warc.write_packages(pages))
+    assert records.select("page_id").distinct().count() == 400
+    assert records.select(F.spark_partition_id().alias("p")).distinct().count() > 3

@@ -26,6 +26,7 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import struct
 import uuid
 import zipfile
@@ -44,6 +45,9 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 #: Bytes after which a task begins another package, and bytes of one ranged read.
 PACKAGE_BYTES = 32_000_000
 RANGE_BYTES = 4_000_000
+#: Bytes that one task reads, and packages whose directories one task looks at.
+TASK_BYTES = 12_000_000
+LOCATED_PACKAGES = 64
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -314,9 +318,12 @@ def _row(headers: dict[str, str], block: bytes, number: bool) -> tuple:
 
 def read_packages(packages: DataFrame, kind: str = "bigint") -> DataFrame:
     """One row per response or revisit record of the packages in column ``path``."""
-    one_each = packages.select("path").repartition(max(1, packages.count()), F.xxhash64("path"))
-    ranges = one_each.mapInArrow(_locate, "path string, offset bigint, length bigint")
-    dealt = ranges.repartition(F.xxhash64("path", "offset"))
+    paths = packages.select("path")
+    located = paths.repartition(max(1, math.ceil(packages.count() / LOCATED_PACKAGES)))
+    ranges = materialize(located.mapInArrow(_locate, "path string, offset bigint, length bigint"), "warc-ranges")
+    total = ranges.agg(F.sum("length")).first()[0] or 0
+    # a range is a few bytes here and megabytes in the archive: the number of tasks follows the latter
+    dealt = ranges.repartition(max(1, math.ceil(total / TASK_BYTES)))
     wide = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
     return dealt.mapInArrow(_reader(kind), RECORD.format(kind=wide))
 
