@@ -76,3 +76,13 @@ def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 160)}
+
+
+def test_extra_columns_and_odd_names_when_dropping(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a", 1, 2), (1, text, "b", 1, 2), (2, text, "c", 1, 2), (3, "other words than those before it here", "d", 1, 2), (4, None, "e", 1, 2)]
+    docs = spark.createDataFrame(rows, "`doc``id` bigint, text string, _rh string, _hash int, _id int")
+    kept = minhash.drop_near_duplicates(docs, key="doc`id")
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [1, 3, 4]
+    long = spark.createDataFrame([(1, "w x y z " * 40_000), (2, "w x y z " * 40_000 + "end"), (3, None)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in minhash.drop_near_duplicates(long).collect()) == [1, 3]

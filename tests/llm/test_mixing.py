@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from wireloom.llm import mixing
 
 
@@ -56,3 +58,14 @@ def test_take_repeats_rows_and_keeps_columns(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert mixing.mix(empty).count() == 0
+
+
+def test_extra_columns_with_the_names_in_use_inside(spark):
+    rows = [(i, "w " * (i % 7), "ab"[i % 2], 1, 2, 3, 4, 5, 6, 7) for i in range(200)]
+    odd = "doc_id bigint, text string, source string, whole int, mark int, _t int, _ss int, _w int, place int, _source int"
+    plain = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, source string")
+    mixed = mixing.mix(spark.createDataFrame(rows, odd))
+    assert {(r.doc_id, r.copies) for r in mixed.collect()} == {(r.doc_id, r.copies) for r in mixing.mix(plain).collect()}
+    assert mixed.columns[:10] == "doc_id text source whole mark _t _ss _w place _source".split() and mixed.first().whole == 1
+    long = plain.withColumn("text", F.when(F.col("doc_id") == 7, F.repeat(F.lit("w "), 300_000)).otherwise(F.col("text")))
+    assert mixing.mix(long).filter("doc_id = 7").first()["size"] == 300_000

@@ -260,16 +260,12 @@ def drop_near_duplicates(
         F.min(F.struct("row_hash", "id")).alias("s")
     )
     stay = materialize(stay.select("s.row_hash", "s.id"), "minhash-stay")
-    h, i = unused(docs, "_hash"), unused(docs, "_id")
-    marked = docs.withColumn(h, F.xxhash64(F.col(quoted(text))))
+    h, i, rh, ri = (unused(docs, n) for n in ("_hash", "_id", "_stay_hash", "_stay_id"))
+    marked = docs.withColumns({h: F.xxhash64(F.col(quoted(text))), i: F.col(quoted(key))})
     wordless = ~F.coalesce(F.col(quoted(text)), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = marked.join(
-        stay.select(F.col("row_hash").alias("_rh"), F.col("id").alias(i)),
-        (F.col(h) == F.col("_rh")) & F.col(quoted(key)).eqNullSafe(F.col(i)),
-        "left_semi",
-    ).filter(~wordless)
-    once = kept.dropDuplicates([h, key]) if "`" not in key else kept
-    return once.drop(h).unionByName(docs.filter(wordless))
+    staying = stay.select(F.col("row_hash").alias(rh), F.col("id").alias(ri))
+    kept = marked.join(staying, (F.col(h) == F.col(rh)) & F.col(i).eqNullSafe(F.col(ri)), "left_semi").filter(~wordless)
+    return kept.dropDuplicates([h, i]).drop(h, i).unionByName(docs.filter(wordless))
 
 
 ship(__name__)

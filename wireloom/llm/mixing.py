@@ -18,13 +18,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wireloom.llm.text import quoted, unused, word_count
+from wireloom.llm.text import quoted, word_count
 from wireloom.sources.staging import materialize
 
 #: Bits of the hash that one histogram resolves, and histograms at most.
 BITS, LEVELS = 12, 5
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
+#: Columns that a mix adds; input columns of these names are replaced.
+MADE = ["size", "source_size", "weight", "target", "copies"]
 CEILING = 2.0
 
 
@@ -69,12 +71,21 @@ def mix(
 ) -> DataFrame:
     """One row per document: all its columns, ``size``, ``source_size``,
     ``weight``, ``target`` and ``copies``, how often the mix takes it."""
-    place = unused(docs, "_place")
-    hashed = F.xxhash64(F.lit(7), F.col(quoted(key)), F.col(quoted(source)), F.col(quoted(text)))
-    sized = docs.withColumns({"size": word_count(F.col(quoted(text))), place: F.shiftrightunsigned(hashed, 4)})
-    narrow = materialize(
-        sized.select(F.col(quoted(source)).alias("source"), F.col("size"), F.col(place).alias("place")), "mix-sizes"
-    )
+    own, names = _renamed(docs)
+    mixed = _mix(own, names[key], names[source], names[text], weights, budget, ceiling)
+    return mixed.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() not in MADE], *MADE)
+
+
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that none of the columns made here has, and what they stand for."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()]), names
+
+
+def _mix(docs: DataFrame, key: str, source: str, text: str, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING) -> DataFrame:
+    hashed = F.xxhash64(F.lit(7), F.col(key), F.col(source), F.col(text))
+    sized = docs.withColumns({"size": word_count(F.col(text)), "place": F.shiftrightunsigned(hashed, 4)})
+    narrow = materialize(sized.select(F.col(source).alias("source"), "size", "place"), "mix-sizes")
     totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, budget, ceiling)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -82,12 +93,9 @@ def mix(
         "rest", F.col("target") - F.col("whole") * F.col("source_size")
     )
     marks = _thresholds(narrow, plan)
-    marks = marks.withColumnRenamed("source", unused(docs, "_source"))
-    marks = marks.withColumnRenamed("source_size", "_ss").withColumnRenamed("weight", "_w").withColumnRenamed("target", "_t")
-    copies = F.col("whole") + F.when(F.col(place) < F.col("mark"), F.lit(1)).otherwise(F.lit(0))
-    joined = sized.join(marks, F.col(quoted(source)).eqNullSafe(F.col(unused(docs, "_source"))), "left")
-    out = {"source_size": F.col("_ss"), "weight": F.col("_w"), "target": F.col("_t"), "copies": copies}
-    return joined.withColumns(out).drop(place, unused(docs, "_source"), "_ss", "_w", "_t", "whole", "mark")
+    copies = F.col("whole") + F.when(F.col("place") < F.col("mark"), F.lit(1)).otherwise(F.lit(0))
+    joined = sized.join(marks, F.col(source).eqNullSafe(F.col("source")), "left")
+    return joined.withColumn("copies", copies).drop("place", "source", "whole", "mark")
 
 
 def _thresholds(narrow: DataFrame, plan: DataFrame) -> DataFrame:
@@ -147,8 +155,7 @@ def _thresholds(narrow: DataFrame, plan: DataFrame) -> DataFrame:
 def take(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with the
     columns of ``docs``."""
-    names = {c: unused(docs, f"_own_{i}") for i, c in enumerate(docs.columns)}
-    own = docs.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()])
-    mixed = mix(own, names[key], names[source], names[text], **options)
+    own, names = _renamed(docs)
+    mixed = _mix(own, names[key], names[source], names[text], **options)
     again = mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return again.select(*[F.col(n).alias(c) for c, n in names.items()])
