@@ -14,7 +14,7 @@ from wireloom.operators.sessions import session_metrics
 from wireloom.operators.whitelist import TrustedServices, apply_whitelist
 from wireloom.operators.zero_byte import BURST_KEY, zero_byte_bursts, zero_byte_sessions
 from wireloom.plans.batch import Detector, score_sessions, status_report
-from wireloom.sources.events import stream_events
+from wireloom.sources.events import stream_events, tail_events
 from wireloom.sources.sinks import write_alerts, write_results
 from wireloom.sources.staging import materialize
 from wireloom.streaming.bursts import stream_bursts
@@ -22,17 +22,18 @@ from wireloom.streaming.sessions import closed_schema, stream_sessions
 
 
 def live_events(
-    spark: SparkSession, path: str, trusted: TrustedServices = TrustedServices(), max_files: int | None = None
+    spark: SparkSession, path: str, trusted: TrustedServices = TrustedServices(), max_files: int | None = None, growing: bool = False
 ) -> DataFrame:
-    raw = stream_events(spark, path, max_files)
+    """``growing``: the files are appended to and rotated; without it they are complete when they appear."""
+    raw = tail_events(spark, path) if growing else stream_events(spark, path, max_files)
     return apply_whitelist(normalize.normalize_events(normalize.drop_flagged(raw)), trusted)
 
 
 def start_sessions(
-    spark: SparkSession, events_path: str, out: str, trigger: dict | None = None, **options
+    spark: SparkSession, events_path: str, out: str, trigger: dict | None = None, growing: bool = False, **options
 ) -> StreamingQuery:
     """Write closed sessions to ``{out}/sessions``, partitioned by hour of closing."""
-    closed = session_metrics(stream_sessions(live_events(spark, events_path), **options))
+    closed = session_metrics(stream_sessions(live_events(spark, events_path, growing=growing), **options))
     writer = (
         closed.withColumn("hour", F.date_format("close_ts", "yyyy-MM-dd-HH"))
         .writeStream.format("parquet")
