@@ -60,3 +60,20 @@ def test_scoring_may_start_before_the_first_session(spark, tmp_path):
     run = monitor.start_scoring(spark, str(tmp_path), Detector(), trigger={"availableNow": True})
     run.awaitTermination()
     assert run.exception() is None
+
+
+def test_counters_of_a_run(spark, tmp_path):
+    out, rows, seen = str(tmp_path), table(spark).cache(), []
+    for low, high in ((0, 140), (140, 10_000)):
+        part = rows.filter(F.col("flow_id").cast("int").between(low, high - 1)).coalesce(1)
+        part.write.mode("append").partitionBy("hour").parquet(f"{out}/sessions")
+        run = monitor.start_scoring(spark, out, Detector(), trigger={"availableNow": True}, burst_rate=0.05, on_counters=lambda c, b: seen.append((b, c.first())))
+        run.awaitTermination()
+    done = spark.read.parquet(f"{out}/scored")
+    last = seen[-1][1]
+    assert [b for b, _ in seen] == [0, 1] and last.batches == 2 and seen[0][1].finalized_sessions == 140
+    assert last.total_finalized_sessions == rows.count() == seen[0][1].finalized_sessions + last.finalized_sessions
+    assert last.total_anomalies_detected == done.filter("is_anomalous").count() > 0
+    assert last.total_burst_alerts == done.filter("zero_byte_pattern").count() > 0
+    # a batch that is repeated replaces its row
+    assert monitor.run_counters(spark, out, 0).first().total_finalized_sessions == 140

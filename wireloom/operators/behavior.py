@@ -23,7 +23,7 @@ from wireloom.operators.running import (
     presence_changes,
     running_totals,
 )
-from wireloom.operators.sessions import SESSION_KEY
+from wireloom.operators.sessions import SESSION_KEY, TERMINAL_STATES
 from wireloom.sources.staging import materialize
 
 ERROR_CODES = ["401", "403", "407"]
@@ -355,6 +355,7 @@ def ip_totals(sessions: DataFrame, include_timeout: bool = False) -> DataFrame:
     port = F.when(F.col("dst_port") > 0, F.col("dst_port"))
     return observed_sessions(sessions, include_timeout).groupBy("src_ip").agg(
         F.count(F.lit(1)).alias("total_flows"),
+        F.count_if(F.col("state").isin(TERMINAL_STATES)).alias("completed_flows"),
         F.sum("total_fwd_bytes").alias("bytes_sent"),
         F.sum("total_bwd_bytes").alias("bytes_received"),
         F.sum("total_fwd_packets").alias("packets_sent"),

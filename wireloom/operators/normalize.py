@@ -60,12 +60,44 @@ def dns_answers() -> Column:
     return F.concat(F.coalesce("dns.grouped.CNAME", empty), F.coalesce("dns.grouped.A", empty))
 
 
+FATE = "fate"
+
+
+def fate() -> Column:
+    """What becomes of a line."""
+    return (
+        F.when(is_malformed(), "malformed").when(is_flagged(), "flagged").when(is_known(), "processed").otherwise("ignored")
+    )
+
+
+def fated_events(raw: DataFrame) -> DataFrame:
+    """Every line with its ``fate`` and, where it is processed, its event. Written once,
+    the table gives both the events and the counters, so that lines are parsed once."""
+    return _flattened(raw, fate().alias(FATE))
+
+
+def processed_events(fated: DataFrame) -> DataFrame:
+    return fated.filter(F.col(FATE) == "processed").drop(FATE)
+
+
+def fate_counts(fated: DataFrame) -> DataFrame:
+    """One row: lines by fate, as ``line_counts`` has them, from one narrow column."""
+    kinds = {"malformed": "malformed", "flagged": "flagged", "ignored": "ignored", "processed_events": "processed"}
+    return fated.agg(
+        F.count(F.lit(1)).alias("total_entries"), *[F.count_if(F.col(FATE) == kind).alias(name) for name, kind in kinds.items()]
+    )
+
+
 def normalize_events(raw: DataFrame) -> DataFrame:
     """Keep the six event types and flatten them; fields of other types are null.
 
     ``seq`` orders events of equal time: an existing ``seq`` column is kept,
     otherwise it is a hash of the whole line.
     """
+    return _flattened(drop_malformed(raw).filter(is_known()))
+
+
+def _flattened(raw: DataFrame, *more: Column) -> DataFrame:
 
     def only(event_type: str, value: Column) -> Column:
         return F.when(F.col("event_type") == event_type, value)
@@ -80,7 +112,8 @@ def normalize_events(raw: DataFrame) -> DataFrame:
     seq = F.col("seq") if "seq" in raw.columns else F.xxhash64(*[c for c in raw.columns if c != CORRUPT])
     fwd_pkts, bwd_pkts = number("flow", "pkts_toserver"), number("flow", "pkts_toclient")
     fwd_bytes, bwd_bytes = number("flow", "bytes_toserver"), number("flow", "bytes_toclient")
-    return drop_malformed(raw).filter(is_known()).select(
+    return raw.select(
+        *more,
         "event_type",
         F.coalesce("flow_id", F.lit("None")).alias("flow_id"),
         "src_ip",

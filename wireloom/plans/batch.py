@@ -82,11 +82,10 @@ def analyze_events(
 
 def analyze_log(spark: SparkSession, path: str, detector: Detector, **options) -> Analysis:
     raw = read_events(spark, path)
-    events = normalize.normalize_events(normalize.drop_flagged(raw))
-    stored = materialize(events, "events")
-    # counted by a pass of its own: a session that has observed anything can't ship MLlib's models to tasks
-    sessions, vectors, results = analyze_events(stored, detector, **options)
-    return Analysis(normalize.line_counts(raw), sessions, vectors, results)
+    # parsed once: the written table gives the events and, from one narrow column, the counters
+    fated = materialize(normalize.fated_events(raw), "lines")
+    sessions, vectors, results = analyze_events(normalize.processed_events(fated), detector, **options)
+    return Analysis(normalize.fate_counts(fated), sessions, vectors, results)
 
 
 def run_summary(lines: DataFrame, results: DataFrame) -> DataFrame:
@@ -102,6 +101,16 @@ def run_summary(lines: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def session_counters(results: DataFrame) -> DataFrame:
+    """One row: finished and scored sessions, anomalies, and alerts that behaviour or a burst raised."""
+    return results.agg(
+        F.count(F.lit(1)).alias("finalized_sessions"),
+        F.count_if("is_anomalous").alias("anomalies_detected"),
+        F.count_if("zero_byte_pattern").alias("burst_alerts"),
+        F.count_if(F.col("alert_reason") == "behavior").alias("behavior_alerts"),
+    )
+
+
 def status_report(latest: DataFrame, threshold: float = 0.7, limit: int = 5) -> DataFrame:
     """The most suspicious sources above the threshold."""
     return behavior.top_anomalous_ips(latest, limit).filter(

@@ -14,7 +14,7 @@ from wireloom.operators.features import BASE_FEATURES
 from wireloom.operators.sessions import COUNTS, LISTS, SESSION_KEY
 from wireloom.plans import batch, oracles as sql
 from wireloom.plans.fixtures import flow_events, training_flows
-from wireloom.sources.events import read_events
+from wireloom.sources.events import read_events, tail_events
 from wireloom.sources.sinks import result_table
 from wireloom.sources.staging import materialize, staging_path
 from wireloom.sources.training import read_training
@@ -175,7 +175,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return normalize.line_counts(_raw(spark, sf_dir))
+    return normalize.fate_counts(materialize(normalize.fated_events(_raw(spark, sf_dir)), "lines"))
 
 
 @query("drop_flagged", _with(sql.FE, "SELECT flow_id, seq, us FROM fe WHERE NOT flagged"))
@@ -716,8 +716,8 @@ IP_TOTALS = ["total_flows", "bytes_sent", "bytes_received", "packets_sent", "pac
     "ip_totals",
     _with(
         sql.SESSIONS + sql.points(),
-        f"""SELECT src_ip, count(*) AS total_flows, CAST(sum(total_fwd_bytes) AS BIGINT) AS bytes_sent,
-        CAST(sum(total_bwd_bytes) AS BIGINT) AS bytes_received, CAST(sum(total_fwd_packets) AS BIGINT) AS packets_sent,
+        f"""SELECT src_ip, count(*) AS total_flows, count(*) FILTER (WHERE state IN ('closed', 'established', 'fin', 'rst')) AS completed_flows,
+        CAST(sum(total_fwd_bytes) AS BIGINT) AS bytes_sent, CAST(sum(total_bwd_bytes) AS BIGINT) AS bytes_received, CAST(sum(total_fwd_packets) AS BIGINT) AS packets_sent,
         CAST(sum(total_bwd_packets) AS BIGINT) AS packets_received, count(DISTINCT dst_ip) AS unique_dst_ips,
         count(DISTINCT CASE WHEN dst_port > 0 THEN dst_port END) AS unique_dst_ports,
         {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in APP_COUNTERS)} FROM pts GROUP BY src_ip""",
@@ -727,6 +727,20 @@ def _(spark, sf_dir):
     return behavior.ip_totals(_sessions(spark, sf_dir))
 
 
+@query(
+    "ip_totals_all",
+    _with(
+        sql.SESSIONS + sql.points("'terminal', 'timeout'"),
+        """SELECT src_ip, count(*) AS total_flows, count(*) FILTER (WHERE state IN ('closed', 'established', 'fin', 'rst')) AS completed_flows
+        FROM pts GROUP BY src_ip""",
+    ),
+)
+def _(spark, sf_dir):
+    """Timed-out sessions included: flows seen, and those of them that were completed."""
+    totals = behavior.ip_totals(_sessions(spark, sf_dir), include_timeout=True)
+    return totals.select("src_ip", "total_flows", "completed_flows")
+
+
 @query(
     "ip_histograms",
     _with(
@@ -1216,6 +1230,47 @@ def _(spark, sf_dir):
     return scored.select("record_id", F.round("rf_confidence", 9).alias("rf_confidence"), "rf_prediction")
 
 
+def _append(folder: str):
+    """Appends a task's lines to the log of its part, as a sensor does."""
+
+    def run(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        where, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        where.create_dir(base, recursive=True)
+        with where.open_append_stream(f"{base}/part-{TaskContext.get().partitionId()}.json") as file:
+            for batch in batches:
+                for line in batch.column(0).to_pylist():
+                    file.write(line.encode() + b"\n")
+        yield from ()
+
+    return run
+
+
+@query(
+    "stream_tail",
+    _with(
+        sql.FE,
+        """SELECT event_type, flow_id, src_ip, src_port, dst_ip, dst_port, proto, us, fwd_bytes + bwd_bytes AS bytes FROM fe WHERE k < 97""",
+    ),
+)
+def _(spark, sf_dir):
+    """Logs that grow three times, read as they grow; tasks append to them, each to its own."""
+    logs, out, state = (staging_path(spark, n) for n in ("tail-logs", "tail-out", "tail-state"))
+    lines = materialize(event_lines(spark, sf_dir), "tail-lines")
+    parts = lines.repartition(4, "value")
+    for n in range(3):
+        some = parts.filter(F.pmod(F.xxhash64("value"), F.lit(3)) == n)
+        some.mapInArrow(_append(logs), "value string").write.format("noop").mode("overwrite").save()
+        events = normalize.normalize_events(normalize.drop_flagged(tail_events(spark, logs)))
+        writer = events.writeStream.format("parquet").option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start(out).awaitTermination()
+    done = spark.read.schema(events.schema).parquet(out)
+    fields = ["event_type", "flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "proto"]
+    return done.select(*fields, _us("event_ts").alias("us"), "bytes")
+
+
 STREAM_SQL = sql.EV + sql.sessions()
 
 

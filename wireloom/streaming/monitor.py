@@ -13,7 +13,7 @@ from wireloom.operators.running import activity_epochs
 from wireloom.operators.sessions import session_metrics
 from wireloom.operators.whitelist import TrustedServices, apply_whitelist
 from wireloom.operators.zero_byte import BURST_KEY, zero_byte_bursts, zero_byte_sessions
-from wireloom.plans.batch import Detector, score_sessions, status_report
+from wireloom.plans.batch import Detector, score_sessions, session_counters, status_report
 from wireloom.sources.events import stream_events, tail_events
 from wireloom.sources.sinks import write_alerts, write_results
 from wireloom.sources.staging import materialize
@@ -139,13 +139,18 @@ def start_scoring(
     detector: Detector,
     on_alerts: Callable[[DataFrame, int], None] | None = None,
     on_status: Callable[[DataFrame, int], None] | None = None,
+    on_counters: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
     burst_count: int = 3,
     burst_rate: float = 1.0,
     idle_seconds: float = 600,
 ) -> StreamingQuery:
     """Score new sessions of the session table; write results and alert texts and
-    hand alerts and the suspicious-source status to the callbacks."""
+    hand alerts, the suspicious-source status and the counters to the callbacks.
+
+    ``on_counters`` gets one row: ``batches`` so far, and the ``session_counters`` of
+    the batch and, named ``total_...``, of the whole run, restarts included. Each batch leaves
+    one row in ``{out}/counters``, which a repeated batch replaces, so nothing counts twice."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         columns = materialize(batch.drop("hour"), "batch")
@@ -159,6 +164,9 @@ def start_scoring(
         write_results(done, f"{out}/results/batch={batch_id}", mode="overwrite")
         texts = alerts.render_alerts(done)
         write_alerts(texts, f"{out}/alerts/batch={batch_id}", mode="overwrite")
+        session_counters(done).coalesce(1).write.mode("overwrite").parquet(f"{out}/counters/batch={batch_id}")
+        if on_counters:
+            on_counters(run_counters(spark, out, batch_id), batch_id)
         if on_alerts:
             on_alerts(texts, batch_id)
         if on_status:
@@ -171,3 +179,14 @@ def start_scoring(
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
     )
+
+
+def run_counters(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """The counters of a batch and of all batches up to it, in one row; one row a batch is read."""
+    rows = spark.read.parquet(f"{out}/counters").filter(F.col("batch") <= batch_id)
+    names = [c for c in rows.columns if c != "batch"]
+    return rows.agg(
+        F.count(F.lit(1)).alias("batches"),
+        *[F.max(F.when(F.col("batch") == batch_id, F.col(c))).alias(c) for c in names],
+        *[F.sum(c).alias(f"total_{c}") for c in names],
+    )
