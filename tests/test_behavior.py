@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 from tests.helpers import T0, session_rows, sessions
 from wireloom.operators import behavior
-from wireloom.operators.zero_byte import zero_byte_bursts
+from wireloom.operators.zero_byte import block_map, compose, zero_byte_bursts
 
 S = 1_000_000
 W = 300 * S
@@ -144,6 +145,58 @@ def test_bursts_match_the_counter_walked_row_by_row(spark, rate):
     assert alerts(spark, times, max_rate=rate, target_rows=4, chunk_seconds=20) == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_maps_of_blocks_are_the_counter_of_every_entry(seed):
+    rng = random.Random(seed)
+    size, maps, slices = rng.choice([3, 40, 700]), [], []
+    first = size
+    for _ in range(5):
+        need = size
+        block = []
+        for _ in range(rng.choice([1, 20, 200])):
+            need += rng.choice([0, 1, 1, 30])
+            block.append((need, rng.choice([1, 2, need - 1, need, rng.randrange(1, 5 * need)])))
+        slices.append(block)
+        maps.append(tuple(np.array(x) for x in block_map(block, size)))
+        assert len(maps[-1][0]) <= len(block) + 1
+        size = need
+
+    def walked(count, blocks):
+        for needed, flows in (s for b in blocks for s in b):
+            for _ in range(flows):
+                count = 0 if count + 1 >= needed else count + 1
+        return count
+
+    def looked_up(count, m):
+        return count + m[1][np.searchsorted(m[0], count, "right") - 1]
+
+    entries = rng.sample(range(first), min(first, 25))
+    whole = maps[0]
+    for m in maps[1:]:
+        whole = compose(whole, m)
+    pairs = compose(compose(maps[0], maps[1]), compose(compose(maps[2], maps[3]), maps[4]))
+    for count in entries:
+        assert looked_up(count, maps[0]) == walked(count, slices[:1])
+        assert looked_up(count, whole) == looked_up(count, pairs) == walked(count, slices)
+
+
+@pytest.mark.parametrize("rate, block", [(1.0, 30), (0.7, 7), (40.0, 4000)])
+def test_bursts_do_not_depend_on_the_blocks(spark, rate, block):
+    """Many blocks a key, empty ones among them, and several keys and activities."""
+    rng = random.Random(5)
+    times, t = [], 0
+    for _ in range(250):
+        t += rng.choice([0, 1, 20_000, 300_000, 900_000, 4 * S]) if rng.random() > 0.01 else 700 * S
+        times.append(t)
+    rows = [dict(us=u, dst_ip=ip) for ip in ("a", "b") for u in (times if ip == "a" else times[40:])]
+
+    def run(**options):
+        found = zero_byte_bursts(sessions(spark, rows), max_rate=rate, **options)
+        return sorted((r.dst_ip, r.close_us, r.flow_id, r.zero_byte_count) for r in found.collect())
+
+    assert run(block_slices=block) == run(block_slices=10**9) != []
+
+
 def test_bursts_need_empty_flows_and_a_full_key(spark):
     rows = [dict(us=i, total_bwd_bytes=1) for i in range(3)] + [dict(us=i, dst_port=0) for i in range(3)]
     rows += [dict(us=i, dst_ip="") for i in range(3)]
