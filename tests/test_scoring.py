@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wireloom.operators import features, prep, scoring
 from wireloom.operators.features import BASE_FEATURES
-from wireloom.operators.quantiles import exact_percentiles
+from wireloom.operators.quantiles import SLACKS, exact_percentiles
 from wireloom.operators.ranking import class_rank, take_per_class
 
 UNIT = dict(mean=0.0, std=1.0, min=-9.0, max=9.0, q1=-1.0, median=0.0, q3=1.0, iqr=2.0)
@@ -64,16 +64,21 @@ def test_fields_are_resolved_by_preference(spark):
     assert features.flow_features(df).first().duration == 2.5
 
 
-def test_percentiles_are_exact_beyond_the_small_limit(spark):
+def test_percentiles_are_exact_whatever_the_brackets(spark):
+    """Good brackets, too narrow ones that are taken wider, and everything in one."""
     rng = random.Random(3)
     a = [53.0 if rng.random() < 0.4 else rng.lognormvariate(0, 3) for _ in range(5000)]
     b = [None if rng.random() < 0.1 else float(rng.randrange(40)) for _ in range(5000)]
     df = spark.createDataFrame(list(zip(a, b)), "`a b` double, b double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    for small in (10, 10**6):
-        got = exact_percentiles(df, ["a b", "b"], probs, small)
+    for slacks in (SLACKS, (0.0009, 1.0), (1.0,)):
+        got = exact_percentiles(df, ["a b", "b"], probs, slacks)
         assert got["a b"] == pytest.approx(list(np.quantile(a, probs)), rel=1e-12)
         assert got["b"] == pytest.approx(list(np.quantile([x for x in b if x is not None], probs)), rel=1e-12)
+    few = df.selectExpr("b", "cast(null as double) none").filter("b < 2").limit(7)
+    values = sorted(r.b for r in few.collect())
+    assert exact_percentiles(few, ["b", "none"], [0.9, 0.1]) == {
+        "b": pytest.approx(list(np.quantile(values, [0.9, 0.1]))), "none": [None, None]}
 
 
 @pytest.mark.parametrize("digits", [1, 4])
