@@ -79,6 +79,9 @@ def test_percentiles_are_exact_whatever_the_brackets(spark):
     values = sorted(r.b for r in few.collect())
     assert exact_percentiles(few, ["b", "none"], [0.9, 0.1]) == {
         "b": pytest.approx(list(np.quantile(values, [0.9, 0.1]))), "none": [None, None]}
+    odd = spark.range(9).selectExpr("double('NaN') nan", "if(id < 6, id, double('NaN')) mixed")
+    got = exact_percentiles(odd, ["nan", "mixed"], [0.5, 1.0])
+    assert got["mixed"][0] == 4.0 and all(np.isnan(x) for x in [*got["nan"], got["mixed"][1]])
 
 
 @pytest.mark.parametrize("digits", [1, 4])

@@ -50,12 +50,13 @@ def _sketched(
         values = {n: F.lit(None).cast("array<double>") for n in names}
     row = summary.select(
         *[f"{kind}_{n}" for n in names for kind in ("n", "low", "high")],
-        *[F.when(F.col(f"n_{n}") > 0, values[n]).alias(f"marks_{n}") for n in names],
+        # a sketch takes no NaN, so it may be empty where the column is not
+        *[F.when(F.kll_sketch_get_n_double(f"sketch_{n}") > 0, values[n]).alias(f"marks_{n}") for n in names],
     ).first()
 
     def bound(name: str, share: float, slack: float, end: str) -> float:
         # ranks are whole: of few rows a share this small holds none
-        if 0 < share < 1 and row[f"n_{name}"] * slack >= 4:
+        if 0 < share < 1 and row[f"n_{name}"] * slack >= 4 and row[f"marks_{name}"]:
             return row[f"marks_{name}"][marks.index(share)]
         return row[f"{end}_{name}"]
 
