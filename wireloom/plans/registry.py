@@ -694,6 +694,63 @@ def _(spark, sf_dir):
     )
 
 
+HOT_RATES = ["0.02", "0.7", "1", "3"]
+HOT_COMPRESSION = 1000  # 30 days become 2,592 seconds
+
+
+def _hot_bursts(rate: str) -> str:
+    """The counter walked flow by flow, in whole numbers."""
+    whole, _, decimals = rate.partition(".")
+    num, den = int(whole + decimals), 10 ** len(decimals)
+    fires = f"y.n >= 3 AND y.n * 1000000 * {den} > y.span * {num}"
+    return f"""
+walk AS (
+  SELECT dst_ip, i, us, flow_id, us AS first_us, CAST(1 AS BIGINT) AS c, false AS fired, CAST(0 AS BIGINT) AS shown FROM zb WHERE i = 1
+  UNION ALL
+  SELECT y.dst_ip, y.i, y.us, y.flow_id, y.first_us, CASE WHEN {fires} THEN 0 ELSE y.n END, {fires}, y.n
+  FROM (SELECT z.dst_ip, z.i, z.us, z.flow_id,
+          CASE WHEN z.us - w.us > 600000000 THEN z.us ELSE w.first_us END AS first_us,
+          CASE WHEN z.us - w.us > 600000000 THEN 1 ELSE w.c + 1 END AS n,
+          CASE WHEN z.us - w.us > 600000000 OR z.us = w.first_us THEN 100000 ELSE z.us - w.first_us END AS span
+        FROM walk w JOIN zb z ON z.dst_ip = w.dst_ip AND z.i = w.i + 1) y)
+SELECT '{rate}' AS rate, flow_id, dst_ip, us AS close_us, shown AS zero_byte_count FROM walk WHERE fired"""
+
+
+HOT_ROWS = f"""
+zb AS (SELECT *, row_number() OVER (PARTITION BY dst_ip ORDER BY us, flow_id) AS i FROM (
+  SELECT CAST(event_id AS VARCHAR) AS flow_id,
+    CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 'host' || CAST(user_id AS VARCHAR) END AS dst_ip,
+    epoch_us(ts) // {HOT_COMPRESSION} AS us FROM events))"""
+
+
+@query(
+    "burst_hot_key",
+    " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {HOT_ROWS.strip()}, {_hot_bursts(r).strip()})" for r in HOT_RATES),
+)
+def _(spark, sf_dir):
+    """A third of all events at one endpoint, at rates that divide a second and rates that don't."""
+    hot = F.when(F.col("event_id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("host"), F.col("user_id")))
+    us = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div {HOT_COMPRESSION}")
+    flows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_id").cast("string").alias("flow_id"),
+        F.lit(0).cast("bigint").alias("session_no"),
+        F.lit("10.0.0.1").alias("src_ip"),
+        hot.alias("dst_ip"),
+        F.lit(80).alias("dst_port"),
+        F.lit("TCP").alias("proto"),
+        F.timestamp_micros(us).alias("close_ts"),
+        F.lit(0).cast("bigint").alias("total_fwd_bytes"),
+        F.lit(0).cast("bigint").alias("total_bwd_bytes"),
+    )
+    found = None
+    for rate in HOT_RATES:
+        bursts = zero_byte.zero_byte_bursts(flows, max_rate=rate).select(
+            F.lit(rate).alias("rate"), "flow_id", "dst_ip", "close_us", "zero_byte_count"
+        )
+        found = bursts if found is None else found.unionByName(bursts)
+    return found
+
+
 # ---------------------------------------------------------------- behaviour
 
 BEHAVIOR = sql.SESSIONS + sql.points() + sql.TIMELINE
