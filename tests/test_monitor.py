@@ -2,7 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tests.helpers import sessions
 from wireloom.operators import behavior, scoring
@@ -10,7 +10,7 @@ from wireloom.operators.sessions import session_metrics
 from wireloom.operators.zero_byte import zero_byte_bursts
 from wireloom.plans.batch import Detector, score_sessions
 from wireloom.streaming import monitor
-from wireloom.streaming.sessions import closed_schema
+from wireloom.streaming.sessions import EVENT_COLUMNS, SessionProcessor, closed_schema
 
 
 def table(spark):
@@ -77,3 +77,50 @@ def test_counters_of_a_run(spark, tmp_path):
     assert last.total_burst_alerts == done.filter("zero_byte_pattern").count() > 0
     # a batch that is repeated replaces its row
     assert monitor.run_counters(spark, out, 0).first().total_finalized_sessions == 140
+
+
+class Handle:
+    """State and timers of one key, kept in lists."""
+
+    def __init__(self):
+        self.state, self.timers, self.calls = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.state
+
+    def update(self, state):
+        self.calls.append("update")
+        self.state = state
+
+    def clear(self):
+        self.state = None
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+
+def test_a_key_costs_four_calls_and_one_timer():
+    """Rows of a key are handled without a data frame, and its timer follows from its state: nothing is listed."""
+    columns = [c for c in EVENT_COLUMNS if c not in ("start_ts", "end_ts", "event_ts")] + ["us", "start_us", "end_us"]
+    event = lambda **given: Row(*columns)(*[{**dict.fromkeys(columns), "event_type": "flow", **given}[c] for c in columns])
+    handle, work = Handle(), SessionProcessor(120_000_000, ["closed"], 86_400_000_000)
+    work.init(handle)
+    run = lambda *rows: [(r.session_no, r.close_reason, r.flow_event_count) for r in work.handleInputRows(("f",), iter(rows), None)]
+    assert run(event(us=5_000_000, seq=2), event(us=1_000_000, seq=1)) == []
+    assert handle.timers == {125_001} and handle.calls == ["get", "update", "register"]
+    handle.calls.clear()
+    assert run(event(us=130_000_000, seq=3), event(us=131_000_000, seq=4, state="closed")) == [(0, "timeout", 2), (1, "terminal", 2)]
+    assert handle.calls == ["get", "update", "delete", "register"] and handle.timers == {86_531_001}
+    assert run(event(us=140_000_000, seq=5)) == [] and handle.timers == {260_001}
+    assert [(r.session_no, r.close_reason) for r in work.handleExpiredTimer(("f",), None, None)] == [(2, "timeout")]
+    assert handle.timers == {260_001, 86_540_001}  # Spark drops the expired one itself
+    assert list(work.handleExpiredTimer(("f",), None, None)) == [] and handle.state is None
