@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from wireloom.operators.running import activity_epochs, presence_changes, running_rank, running_totals
+from wireloom.operators.running import activity_epochs, cut_pieces, presence_changes, running_rank, running_totals
 
 CHUNK = 7
 
@@ -58,3 +58,17 @@ def test_chunks_wider_than_the_gap_are_refused(frame):
         activity_epochs(frame, ["k"], "us", 5, 6)
     with pytest.raises(ValueError):
         presence_changes(frame, ["k"], "v", "us", 5, 6)
+
+
+@pytest.mark.parametrize("target", [3, 10**6])
+def test_rows_are_cut_without_a_shuffle(spark, frame, target):
+    """Hot keys, cells and cuts are few and sent to the rows; before, both joins sorted and shuffled all rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = cut_pieces(frame, ["k"], "us", CHUNK, target)
+        assert "SortMergeJoin" not in cut._jdf.queryExecution().executedPlan().toString()
+        rows = cut.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 300 and all(r._chunk <= r._piece <= r.us for r in rows)
+    assert any(r._piece > r._chunk for r in rows) == (target == 3)
