@@ -225,3 +225,12 @@ def test_isotonic_runs():
     steps = {i: (random.randint(0, 5), 5) for i in range(50)}
     shares = [good / n for _, _, good, n in pii.rising(steps)]
     assert shares == sorted(set(shares)) and sum(n for *_, n in pii.rising(steps)) == 250
+
+
+def test_every_document_is_an_example(spark):
+    """More documents than the sample had that the thresholds came from."""
+    n = 22_000
+    rows = spark.range(n).selectExpr("id as doc_id", "concat('write to u', id, '@h', id % 7, '.com for order ', 100000000000 + id * 7) as text")
+    model = pii.fit(rows)
+    good, of = model.held_out["email"]
+    assert n - 100 <= good <= of

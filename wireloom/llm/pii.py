@@ -7,16 +7,16 @@ candidate by its format and the words around it, their margin is calibrated to a
 probability, a threshold per kind selects, and of overlapping selected ones the
 most probable stays. Base spans are never dropped.
 
-The model is weakly supervised. Positive examples are the base spans of a
-bounded sample of documents: as they are, disguised in place (``+`` left out,
+The model is weakly supervised. Positive examples are the base spans of all
+documents: as they are, disguised in place (``+`` left out,
 separators exchanged, ``@`` and dots spelled out), and run into a number before
 or behind them, so that the fixed pattern loses them. Negative ones are wrong
 cuts of these, near misses made of them (check digit off by one, octet over
 255), and the other candidates of the same documents. A candidate that would be
-a base span if it stood alone is neither. Where the sample holds no example of
+a base span if it stood alone is neither. Where the documents hold no example of
 one of the classes, nothing is added to the base spans.
 
-Calibration and thresholds come from the whole sample: every document is scored
+Calibration and thresholds come from all documents: every one is scored
 by trees that were fitted without it. Only candidates that meet no base span
 count, and of overlapping ones the best alone, as in use.
 
@@ -46,14 +46,14 @@ from wireloom.llm.text import quoted, unused
 from wireloom.sources.staging import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents from which examples are drawn, at most about.
-SAMPLE_DOCS = 20_000
 PRECISION = 0.97
 TREES, DEPTH = 16, 4
 FOLDS = 2
 #: Candidates of its own that a kind needs above its threshold.
 OWN = 5
 STEPS = 1000
+#: Examples that a task hands over at once.
+HANDED = 5_000
 
 LABEL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 LOCAL = frozenset(LABEL + "._%+-")
@@ -346,28 +346,31 @@ def rising(steps: dict[int, tuple[float, int]]) -> list[tuple[int, int, float, i
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Model:
-    """Trees on all sampled examples; calibration and thresholds on the out-of-fold
+def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> Model:
+    """Trees on the examples of all documents; calibration and thresholds on the out-of-fold
     scores of those that meet no base span.
 
     A kind's threshold lies half way below the first run of its isotonic shares in which its own
     candidates, and those of all kinds with one wrong one added, are right at the
     asked rate; it is never below that rate itself.
     """
-    n = docs.count()
-    body = docs.select(F.col(quoted(text)).alias("text"))
-    share = min(1.0, sample_docs / max(n, 1))
-    place = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_003))
-    body = body.filter(F.col("text").isNotNull() & (place < int(share * 1_000_003) + 1)).withColumn("place", place)
+    body = docs.select(F.col(quoted(text)).alias("text")).filter(F.col("text").isNotNull())
+    body = body.withColumn("place", F.xxhash64("text", F.lit(11)))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["kind", "x", "label", "apart", "group", "size", "place"]
         for batch in batches:
-            rows = [(*x, p) for t, p in zip(batch["text"], batch["place"]) for x in examples(t)]
-            yield pd.DataFrame(rows, columns=["kind", "x", "label", "apart", "group", "size", "place"])
+            rows = []
+            for t, p in zip(batch["text"], batch["place"]):
+                rows += [(*x, p) for x in examples(t)]
+                if len(rows) >= HANDED:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     schema = "kind string, x array<double>, label double, apart boolean, group bigint, size bigint, place bigint"
     drawn = materialize(body.mapInPandas(draw, schema), "pii-examples").withColumn("features", array_to_vector("x")).drop("x")
-    fold = F.col("place") % FOLDS
+    fold = F.pmod("place", F.lit(1_000_003)) % FOLDS
     classes = {(r["fold"], r["label"]) for r in drawn.select(fold.alias("fold"), "label").distinct().collect()}
     if any(len({c for f, c in classes if f != i}) < 2 for i in range(FOLDS)):
         return NOTHING
