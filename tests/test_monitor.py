@@ -4,13 +4,13 @@ import random
 
 from pyspark.sql import Row, functions as F
 
-from tests.helpers import sessions
+from tests.helpers import events, sessions
 from wireloom.operators import behavior, scoring
 from wireloom.operators.sessions import session_metrics
 from wireloom.operators.zero_byte import zero_byte_bursts
 from wireloom.plans.batch import Detector, score_sessions
 from wireloom.streaming import monitor
-from wireloom.streaming.sessions import EVENT_COLUMNS, SessionProcessor, closed_schema
+from wireloom.streaming.sessions import EVENT_COLUMNS, SessionProcessor, closed_schema, stream_sessions
 
 
 def table(spark):
@@ -124,3 +124,15 @@ def test_a_key_costs_four_calls_and_one_timer():
     assert [(r.session_no, r.close_reason) for r in work.handleExpiredTimer(("f",), None, None)] == [(2, "timeout")]
     assert handle.timers == {260_001, 86_540_001}  # Spark drops the expired one itself
     assert list(work.handleExpiredTimer(("f",), None, None)) == [] and handle.state is None
+
+
+def test_a_port_stays_where_another_event_has_none(spark, tmp_path):
+    """Data frames made decimals of ports next to a missing one, and the state stored them as null."""
+    rows = [dict(us=1_000_000, flow_id=f, dst_port=p, event_type="flow", state="closed") for f, p in (("a", 443), ("b", None), ("c", 80))]
+    last = dict(us=9_000_000, flow_id="a", dst_port=None, event_type="http")
+    table = events(spark, [*rows, last]).coalesce(1)
+    table.write.parquet(str(tmp_path / "in"))
+    closed = stream_sessions(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")))
+    writer = closed.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+    writer.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert {(r.flow_id, r.dst_port) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 443), ("b", None), ("c", 80)}
