@@ -1,6 +1,10 @@
 import random
+import re
+import types
 
+import pyarrow as pa
 import pytest
+import zstandard
 
 from wireloom.llm import pieces
 
@@ -92,3 +96,47 @@ def test_empty_table(spark, model):
 def test_a_table_whose_words_cant_be_cut_is_refused():
     with pytest.raises(ValueError):
         pieces.table([("a b", 0, -1.0)], list(range(256)))
+
+
+def test_many_words_at_once_take_the_paths_of_single_ones(monkeypatch):
+    random.seed(8)
+    alphabet = "abé "
+    rows = {"".join(random.choice(alphabet) for _ in range(random.randint(1, 4))).lstrip() for _ in range(25)} - {"", "é"}
+    # few different scores, so that sums are equal
+    small = pieces.Pieces([(p, i, float(-random.randint(1, 3))) for i, p in enumerate(sorted(rows))], list(range(100, 356)), -20.0, 4, "ab", "")
+    scores = {p: (i, s) for p, i, s in small.rows}
+    asked = sorted({"".join(random.choice("abcé") for _ in range(random.randint(1, 30))) for _ in range(300)})
+    edges = [(k, at + 1, n, scores[w[at : at + n]][0]) for k, w in enumerate(asked) for at in range(len(w)) for n in range(1, min(4, len(w) - at) + 1) if w[at : at + n] in scores]
+    random.shuffle(edges)
+    found = pa.table({c: pa.array(v, pa.int32()) for c, v in zip(("no", "start", "length", "id"), zip(*edges))})
+    want = [[x for i, at, n in pieces.viterbi(w, scores, 4, -20.0) for x in ([i] if i >= 0 else [100 + b for b in w[at : at + n].encode()])] for w in asked]
+    for cells in (pieces.CELLS, 100):
+        monkeypatch.setattr(pieces, "CELLS", cells)
+        sizes, flat = pieces._paths(asked, found, pieces._by_id(small), small)
+        assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+    sizes, flat = pieces._paths(["é", "é" * 2], found.slice(0, 0), pieces._by_id(small), small)
+    assert sizes.tolist() == [2, 4] and flat.tolist() == [100 + b for b in "ééé".encode()]
+
+
+def test_a_block_cuts_each_text_once(model, monkeypatch):
+    seen = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.find = re.compile(pattern).findall
+
+        def findall(self, text):
+            seen.append(text)
+            return self.find(text)
+
+    monkeypatch.setattr(pieces, "re", types.SimpleNamespace(compile=Counted, escape=re.escape))
+    texts = ["the cat", "", None, "a ☃ cat"]
+    pack = zstandard.ZstdCompressor().compress
+    docs = pa.table({"t": pa.array([t if t is None else pack(t.encode()) for t in texts], pa.binary())})
+    none = pa.table({"bucket": pa.array([], pa.int64()), "sizes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+    schema = pa.schema([("text", pa.string()), ("ids", pa.list_(pa.int32()))])
+    out = pieces._assembled(model, "t", "text", ["text", "ids"], schema, 1)(docs, none).to_pylist()
+    assert [r["text"] for r in out] == texts and len(seen) == 3
+    scores = {p: (i, s) for p, i, s in model.rows}
+    path = pieces.viterbi(" the", scores, model.longest, model.unknown) + pieces.viterbi(" cat", scores, model.longest, model.unknown)
+    assert out[0]["ids"] == [i for i, _, _ in path] and out[1]["ids"] == [] and out[2]["ids"] is None

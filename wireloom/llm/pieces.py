@@ -2,10 +2,10 @@
 
 The distinct words of the corpus, not its texts, are segmented. All substrings
 of a word up to the longest piece are exploded and joined to the piece table;
-the matches are the edges of the word's lattice; they are grouped by word, and
-Spark's ``aggregate`` folds Viterbi's recurrence over the positions. The result
-is the segmentation with the highest sum of scores; of equal sums the one whose
-last differing piece is longer.
+the matches are the edges of the word's lattice; they are grouped with the words
+of a bucket, and Viterbi's recurrence runs over the positions of all its words
+at once. The result is the segmentation with the highest sum of scores; of equal
+sums the one whose last differing piece is longer.
 
 A word here is a run of spaces with the characters after it that occur in
 pieces of several characters, up to a sign that follows a letter or digit in no
@@ -27,17 +27,18 @@ that every text is decoded to itself.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from wireloom.functions.shipping import ship
@@ -51,6 +52,10 @@ BLOCK_CHARS = 8_000_000
 #: Characters of text for each part into which the distinct words are dealt.
 WORD_CHARS = 2_000_000
 LONG = 1024
+#: Characters at which a piece can't begin unless one does, so that fewer substrings are joined.
+OPENING = 4
+#: Words times positions that the recurrence holds at a time.
+CELLS = 1_000_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -132,89 +137,137 @@ def viterbi(word: str, scores: dict[str, tuple[int, float]], longest: int, unkno
     return out[::-1]
 
 
-def _fold(positions: Column, longest: int) -> Column:
-    """Viterbi over ``positions``, an array by end position of the edges
-    ``(length, score, id)`` that end there. The state holds the best score and ids of the last
-    positions, as many as the longest piece has characters, newest first."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<struct<id:int,at:int>>").alias("ids")))
-
-    def step(state: Column, here: Column) -> Column:
-        options = F.transform(
-            here["edges"],
-            lambda e: F.struct(
-                (F.element_at(state, e["length"])["score"] + e["score"]).alias("score"),
-                e["length"].alias("length"),
-                e["id"].alias("id"),
-            ),
-        )
-        best = F.array_max(options)
-        # one binding for the best edge, which is used twice
-        row = F.transform(
-            F.array(best),
-            lambda b: F.struct(
-                b["score"].alias("score"),
-                F.concat(
-                    F.element_at(state, b["length"])["ids"],
-                    F.array(F.struct(b["id"].alias("id"), (here["end"] - b["length"]).cast("int").alias("at"))),
-                ).alias("ids"),
-            ),
-        )
-        return F.slice(F.concat(row, state), 1, longest)
-
-    return F.element_at(F.aggregate(positions, start, step), 1)["ids"]
-
-
-def segment(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ()) -> DataFrame:
-    """``word, ids`` for a table of distinct, non-empty words (column ``word``).
-    Columns ``by`` are kept; if the words are dealt by them, nothing is dealt anew."""
-    spark = words.sparkSession
-    known = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
-    starts = words.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("word"))))
-    # no piece that begins with these two characters is longer
+def _lattice(asked: DataFrame, pieces: Pieces) -> DataFrame:
+    """The pieces in the distinct words of each bucket: ``of, no, start, length, id``, where
+    ``of`` is the bucket and ``no`` counts the bucket's words in ascending order. ``asked`` has lists of words,
+    dealt by bucket; nothing is dealt anew."""
+    spark = asked.sparkSession
+    # of pieces that are there twice the one with the higher score, as in any other choice
+    best: dict[str, tuple[float, int]] = {}
+    for piece, i, score in pieces.rows:
+        best[piece] = max(best.get(piece, (score, i)), (score, i))
+    known = spark.createDataFrame([(p, i) for p, (_, i) in best.items()], "piece string, id int")
+    # no piece that begins with these characters is longer
     longest: dict[str, int] = {}
-    for piece, _, _ in pieces.rows:
-        if len(piece) > 1:
-            longest[piece[:2]] = max(longest.get(piece[:2], 0), len(piece))
+    for piece in best:
+        if len(piece) >= OPENING:
+            longest[piece[:OPENING]] = max(longest.get(piece[:OPENING], 0), len(piece))
     openings = spark.createDataFrame(list(longest.items()), "opening string, longest int")
-    starts = starts.join(F.broadcast(openings), F.expr("substring(word, start, 2) = opening"), "left")
-    reach = F.least(F.coalesce("longest", F.lit(1)), F.length("word") - F.col("start") + 1)
+    every = F.split(F.array_join(F.collect_list("words"), "\0"), "\\x00")
+    # with a look at the block, so that both sides read the same deal of the lists
+    lists = asked.groupBy("bucket").agg(F.sort_array(F.array_distinct(every)).alias("list"), F.min("block").alias("b")).filter("b is not null")
+    starts = lists.select("bucket", F.posexplode("list").alias("no", "word")).withColumn("start", F.explode(F.sequence(F.lit(1), F.length("word"))))
+    starts = starts.join(F.broadcast(openings), F.expr(f"substring(word, start, {OPENING}) = opening"), "left")
+    reach = F.least(F.coalesce("longest", F.lit(OPENING - 1)), F.length("word") - F.col("start") + 1)
     spans = starts.withColumn("length", F.explode(F.sequence(F.lit(1), reach)))
-    # a substring that isn't a piece is no edge, but for single characters
-    matched = spans.join(F.broadcast(known), F.expr("substring(word, start, length) = piece"), "left").filter("id is not null or length = 1")
-    edge = F.struct(
-        (F.col("start") + F.col("length") - 1).alias("end"),
-        F.col("length"),
-        F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
-        F.coalesce("id", F.lit(-1)).alias("id"),
-    )
-    lattice = matched.select(*by, "word", edge.alias("edge")).groupBy(*by, "word").agg(F.collect_list("edge").alias("edges"))
-    positions = F.transform(
-        F.sequence(F.lit(1), F.length("word")),
-        lambda i: F.struct(i.alias("end"), F.filter("edges", lambda e: e["end"] == i).alias("edges")),
-    )
-    folded = lattice.select(*by, "word", _fold(positions, pieces.longest).alias("path"))
-    fallback = F.array(*[F.lit(i) for i in pieces.bytes_ids])
-
-    def spelled(p: Column) -> Column:
-        # the character's bytes, from its hexadecimal form
-        char = F.hex(F.encode(F.substr(F.col("word"), p["at"] + 1, F.lit(1)), "UTF-8"))
-        places = F.sequence(F.lit(1), F.length(char), F.lit(2))
-        byte = F.transform(places, lambda i: F.conv(F.substr(char, i, F.lit(2)), 16, 10).cast("int"))
-        return F.when(p["id"] >= 0, F.array(p["id"])).otherwise(F.transform(byte, lambda b: F.get(fallback, b)))
-
-    return folded.select(*by, "word", F.flatten(F.transform("path", spelled)).alias("ids"))
-
-
-def _lists(found: set[str], known: set[str], buckets: int) -> dict[int, list[str]]:
+    matched = spans.join(F.broadcast(known), F.expr("substring(word, start, length) = piece"))
+    return matched.select(F.col("bucket").alias("of"), "no", "start", "length", "id")
+
+
+def _paths(words: list[str], edges: pa.Table, scores: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and the ids of all: Viterbi's recurrence, position
+    by position, for many words at a time. ``scores`` go by id."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    by_size = np.argsort(sizes, kind="stable")
+    place = np.empty_like(by_size)
+    place[by_size] = np.arange(len(words))
+    # parts of words of like length
+    part, first, parts = np.empty(len(words), dtype=np.int64), 0, []
+    for k, size in enumerate(sizes[by_size].tolist()):
+        if k > first and (k - first + 1) * (size + 1) > CELLS:
+            parts.append((first, k))
+            first = k
+        part[k] = len(parts)
+    parts.append((first, len(words)))
+    where = place[edges.column("no").to_numpy()]
+    length = edges.column("length").to_numpy().astype(np.int64)
+    end = edges.column("start").to_numpy() + length - 1
+    ids = edges.column("id").to_numpy()
+    span = int(sizes.max()) + 1
+    key = (part[where] * span + end) * span + length
+    order = np.argsort(key, kind="stable")
+    where, length, end, ids, key = where[order], length[order], end[order], ids[order], key[order]
+    step = np.flatnonzero(np.diff(key)) + 1
+    groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b in zip([0, *step.tolist()], [*step.tolist(), len(where)]):
+        if a < b:
+            groups.setdefault((int(part[where[a]]), int(end[a])), []).append((a, b))
+    who, at, chosen = [], [], []
+    for k, (first, last) in enumerate(parts):
+        rows, widest = last - first, int(sizes[by_size[last - 1]])
+        best = np.full((widest + 1, rows), -np.inf)
+        best[0] = 0.0
+        back = np.ones((widest + 1, rows), dtype=np.int32)
+        piece = np.full((widest + 1, rows), -1, dtype=np.int32)
+        for e in range(1, widest + 1):
+            best[e] = best[e - 1] + pieces.unknown
+            for a, b in groups.get((k, e), []):  # shorter pieces first
+                n, w = int(length[a]), where[a:b] - first
+                sums = best[e - n][w] + scores[ids[a:b]]
+                wins = slice(None) if n == 1 else sums >= best[e][w]
+                w = w[wins]
+                best[e, w], back[e, w], piece[e, w] = sums[wins], n, ids[a:b][wins]
+        row, pos = np.arange(rows), sizes[by_size[first:last]]
+        while len(row):
+            who.append(by_size[first + row])
+            at.append(pos)
+            chosen.append(piece[pos, row])
+            pos = pos - back[pos, row]
+            row, pos = row[pos > 0], pos[pos > 0]
+    word, at, chosen = np.concatenate(who), np.concatenate(at), np.concatenate(chosen)
+    order = np.argsort(word * span + at, kind="stable")
+    word, at, chosen = word[order], at[order], chosen[order]
+    # characters without a piece
+    odd = np.flatnonzero(chosen < 0)
+    spelled = [[pieces.bytes_ids[x] for x in words[w][p - 1].encode()] for w, p in zip(word[odd].tolist(), at[odd].tolist())]
+    counts = np.ones(len(word), dtype=np.int64)
+    counts[odd] = [len(x) for x in spelled]
+    flat = np.repeat(chosen, counts)
+    flat[flat < 0] = [i for x in spelled for i in x]
+    return np.bincount(word, weights=counts, minlength=len(words)).astype(np.int64), flat
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` with the numbers ``wanted``, one after the other."""
+    some = sizes[wanted]
+    ends = np.cumsum(some)
+    return flat[np.repeat(starts[wanted] - ends + some, some) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _by_id(pieces: Pieces) -> np.ndarray:
+    scores = np.full(max((i for _, i, _ in pieces.rows), default=0) + 1, -np.inf)
+    for _, i, score in pieces.rows:
+        scores[i] = max(scores[i], score)
+    return scores
+
+
+def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """``word, ids`` for a table of distinct, non-empty words (column ``word``)."""
+    total = words.agg(F.sum(F.length("word"))).first()[0] or 0
+    buckets = max(1, math.ceil(total / WORD_CHARS))
+    asked = words.select(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket"), F.col("word").alias("words"), F.lit(0).alias("block")).repartition(buckets, "bucket")
+    scores = _by_id(pieces)
+
+    def listed(asked: pa.Table, edges: pa.Table) -> pa.Table:
+        words = sorted(asked.column("words").to_pylist())
+        sizes, flat = _paths(words, edges, scores, pieces)
+        ids = pa.ListArray.from_arrays(pa.array([0, *np.cumsum(sizes).tolist()], pa.int32()), pa.array(flat, pa.int32()))
+        return pa.table({"word": pa.array(words, pa.string()), "ids": ids})
+
+    return asked.groupBy("bucket").cogroup(_lattice(asked, pieces).groupBy("of")).applyInArrow(listed, "word string, ids array<int>")
+
+
+def _lists(found: Iterable[str], known: set[str], buckets: int) -> dict[int, list[str]]:
     """The words to ask for, sorted, by the bucket of their hash: not those that
     are longer than ``LONG``, nor single characters without a piece."""
-    out: dict[int, list[str]] = {}
-    for w in found:
-        if len(w) <= LONG and (len(w) > 1 or w in known):
-            out.setdefault(xxhash.xxh3_64_intdigest(w.encode()) % buckets, []).append(w)
-    for words in out.values():
-        words.sort()
-    return out
+    words = np.array(sorted(w for w in found if len(w) <= LONG and (len(w) > 1 or w in known)), dtype=object)
+    if not len(words):
+        return {}
+    bucket = (pd.util.hash_array(words, categorize=False) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    words, bucket = words[order], bucket[order]
+    step = (np.flatnonzero(np.diff(bucket)) + 1).tolist()
+    return {int(bucket[a]): words[a:b].tolist() for a, b in zip([0, *step], [*step, len(words)])}
 
 
 def _asked(pieces: Pieces, block: str, packed: str, buckets: int):
@@ -238,17 +291,26 @@ def _asked(pieces: Pieces, block: str, packed: str, buckets: int):
     return run
 
 
-def _answered(asked: pa.Table, found: pa.Table) -> pa.Table:
-    """The ids of the words of each list, in the order of the list: how many for
-    each word, and all of them."""
-    pack = zstandard.ZstdCompressor(level=3)
-    ids = dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist()))
-    sizes, flat = [], []
-    for words in asked.column("words").to_pylist():
-        paths = [ids[w] for w in words.split("\0")]
-        sizes.append(pack.compress(np.fromiter(map(len, paths), dtype=np.uint16, count=len(paths)).tobytes()))
-        flat.append(pack.compress(np.array([i for p in paths for i in p], dtype=np.int32).tobytes()))
-    return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(flat, pa.binary())})
+def _answered(pieces: Pieces):
+    scores = _by_id(pieces)
+
+    def run(asked: pa.Table, edges: pa.Table) -> pa.Table:
+        """The ids of the words of each list, in the order of the list: how many for
+        each word, and all of them."""
+        pack = zstandard.ZstdCompressor(level=3)
+        lists = [words.split("\0") for words in asked.column("words").to_pylist()]
+        words = sorted(set().union(*lists))
+        numbers = dict(zip(words, range(len(words))))
+        counts, flat = _paths(words, edges, scores, pieces)
+        starts = np.cumsum(counts) - counts
+        sizes, ids = [], []
+        for words in lists:
+            wanted = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+            sizes.append(pack.compress(counts[wanted].astype(np.uint16).tobytes()))
+            ids.append(pack.compress(_gathered(flat, starts, counts, wanted).astype(np.int32).tobytes()))
+        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+    return run
 
 
 def _unpacked(unpack, packed: bytes) -> str:
@@ -262,29 +324,40 @@ def _assembled(pieces: Pieces, packed: str, text: str, names: list[str], schema:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         find, unpack = re.compile(pattern).findall, zstandard.ZstdDecompressor()
         known = {p for p, _, _ in pieces.rows}
-        runs: set[str] = set()
+        # words are numbered as they turn up
+        numbers: dict[str, int] = defaultdict(itertools.count().__next__)
+        texts, coded = [], []
         for value in docs.column(packed):
-            if value.is_valid:
-                runs.update(find(_unpacked(unpack, value.as_py())))
-        lists = _lists(runs, known, buckets)
-        ids: dict[str, bytes] = {}
-        for bucket, sizes, flat in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "ids"))):
-            data, ends = unpack.decompress(flat), 4 * np.cumsum(np.frombuffer(unpack.decompress(sizes), dtype=np.uint16), dtype=np.int64)
-            start = 0
-            for w, end in zip(lists.pop(bucket), ends.tolist()):
-                ids[w], start = data[start:end], end
+            plain = _unpacked(unpack, value.as_py()) if value.is_valid else None
+            texts.append(None if plain is None else plain[1:])
+            words = [] if plain is None else find(plain)
+            coded.append(None if plain is None else np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+            del words
+        lists = _lists(numbers, known, buckets)
+        sizes, starts, flat, taken = np.zeros(len(numbers), dtype=np.int64), np.zeros(len(numbers), dtype=np.int64), [], 0
+
+        def put(wanted: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal taken
+            sizes[wanted], starts[wanted] = counts, taken + np.cumsum(counts) - counts
+            flat.append(ids)
+            taken += len(ids)
+
+        for bucket, counts, ids in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "ids"))):
+            wanted = np.fromiter(map(numbers.__getitem__, lists.pop(bucket)), dtype=np.int64)
+            put(wanted, np.frombuffer(unpack.decompress(counts), dtype=np.uint16).astype(np.int64), np.frombuffer(unpack.decompress(ids), dtype=np.int32))
+        del lists
         scores: dict[str, tuple[int, float]] = {}
-        for w in runs - ids.keys():  # long words, and characters without a piece
+        every = list(numbers)
+        for k in np.flatnonzero(sizes == 0).tolist():  # long words, and characters without a piece
             scores = scores or {p: (i, s) for p, i, s in pieces.rows}
+            w = every[k]
             path = viterbi(w, scores, pieces.longest, pieces.unknown)
             spelled = [[i] if i >= 0 else [pieces.bytes_ids[x] for x in w[at : at + n].encode()] for i, at, n in path]
-            ids[w] = np.array([i for p in spelled for i in p], dtype=np.int32).tobytes()
-        del runs
-        texts, found = [], []
-        for value in docs.column(packed):
-            plain = _unpacked(unpack, value.as_py()) if value.is_valid else None
-            texts.append(None if plain is None else plain[1:])
-            found.append(None if plain is None else np.frombuffer(b"".join(map(ids.__getitem__, find(plain))), dtype=np.int32))
+            ids = np.array([i for p in spelled for i in p], dtype=np.int32)
+            put(np.array([k]), np.array([len(ids)]), ids)
+        del numbers, every
+        ids = np.concatenate([*flat, np.zeros(0, dtype=np.int32)])
+        found = [None if c is None else _gathered(ids, starts, sizes, c) for c in coded]
         columns = []
         for name, field in zip(names, schema):
             if name == text:
@@ -328,10 +401,8 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     asked = dealt.mapInArrow(_asked(pieces, block, packed, buckets), "block bigint, bucket bigint, words string")
     # one deal of the lists serves the lattice and the answers
     asked = asked.repartition(buckets, "bucket")
-    word = F.explode(F.split("words", "\\x00")).alias("word")
-    words = asked.select("block", "bucket", word).groupBy("bucket", "word").agg(F.min("block").alias("b")).filter("b is not null").drop("b")
-    found = segment(words, pieces, ("bucket",)).select(F.col("bucket").alias("of"), "word", "ids")
-    answers = asked.groupBy("bucket").cogroup(found.groupBy("of")).applyInArrow(_answered, "block bigint, bucket bigint, sizes binary, ids binary")
+    lattice = _lattice(asked, pieces).groupBy("of")
+    answers = asked.groupBy("bucket").cogroup(lattice).applyInArrow(_answered(pieces), "block bigint, bucket bigint, sizes binary, ids binary")
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     names = [*docs.columns, ids]
     assemble = _assembled(pieces, packed, text, names, to_arrow_schema(schema), buckets)
