@@ -35,9 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # written in between, so that an executor holds the workers of one step at a time
-    encoded = materialize(pieces.encode(docs, pieces.load(), ids="token_ids"), "corpus-encoded")
-    decoded = pieces.decode(encoded, ids="token_ids", to="decoded")
+    # decoding needs no Python workers, so it follows in the tasks that put the ids together
+    decoded = pieces.decode(pieces.encode(docs, pieces.load(), ids="token_ids"), ids="token_ids", to="decoded")
     return decoded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
 
 
