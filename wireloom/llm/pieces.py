@@ -36,6 +36,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -56,6 +57,8 @@ LONG = 1024
 OPENING = 4
 #: Words times positions that the recurrence holds at a time.
 CELLS = 1_000_000
+#: Ids that are decoded at a time.
+DECODED_IDS = 250_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -422,12 +425,41 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "
         p.piece.replace(SPACE, " ").encode() if p.type in (kind.NORMAL, kind.USER_DEFINED) else bytes([int(p.piece[1:-1], 16)]) if p.type == kind.BYTE else b""
         for p in proto.pieces
     ]
-    # bytes as pairs of hexadecimal digits: a character's bytes may come from several pieces; one constant of the plan
-    table = F.split(F.lit(",".join(p.hex() for p in parts)), ",")
-    whole = F.array_join(F.transform(F.col(quoted(ids)), lambda i: F.get(table, i)), "")
+    plain = _joined(parts)(F.col(quoted(ids)))
     # the space that was put before the text
-    plain = F.when(whole.startswith("20"), F.substr(whole, F.lit(3))).otherwise(whole)
-    return encoded.withColumn(to, F.make_valid_utf8(F.unhex(plain).cast("string")))
+    plain = F.when(plain.startswith(F.lit(b" ")), F.substr(plain, F.lit(2))).otherwise(plain)
+    return encoded.withColumn(to, F.make_valid_utf8(plain.cast("string")))
+
+
+def _joined(parts: list[bytes]):
+    """The bytes of the pieces with these ids; the table goes with the function, not
+    into the plan, whose text the driver keeps for every change of it."""
+
+    n = len(parts)
+
+    def some(ids: pa.Array, table: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+        flat = pc.fill_null(ids.flatten(), -1).to_numpy()
+        # a character's bytes may come from several pieces
+        taken = table.take(pa.array(np.where((flat >= 0) & (flat < n), flat, n)))
+        at = np.frombuffer(taken.buffers()[1], dtype=np.int32)[: len(taken) + 1]
+        whole = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at[ends]), taken.buffers()[2]])
+        return pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.binary()))
+
+    @F.arrow_udf(T.BinaryType())
+    def joined(ids: pa.Array) -> pa.Array:
+        table = pa.array([*parts, b""], pa.binary())
+        sizes = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
+        # few rows at a time, unless one has more ids
+        step = np.flatnonzero(np.diff(sizes // DECODED_IDS)) + 1
+        found = [some(ids.slice(a, b - a), table) for a, b in zip([0, *step.tolist()], [*step.tolist(), len(ids)])]
+        try:
+            return pa.concat_arrays(found)
+        finally:
+            del found
+            pa.default_memory_pool().release_unused()
+
+    return joined
 
 
 ship(__name__)
