@@ -140,3 +140,29 @@ def test_a_block_cuts_each_text_once(model, monkeypatch):
     scores = {p: (i, s) for p, i, s in model.rows}
     path = pieces.viterbi(" the", scores, model.longest, model.unknown) + pieces.viterbi(" cat", scores, model.longest, model.unknown)
     assert out[0]["ids"] == [i for i, _, _ in path] and out[1]["ids"] == [] and out[2]["ids"] is None
+
+
+def test_texts_are_cut_as_the_pattern_finds_words(model, monkeypatch):
+    random.seed(11)
+    letters = [*" aZ09.,-'/(é日\n\t☃\U0001f600▁", *model.inner[:8], *model.breaks[:8]]
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(600)]
+    texts += ["", "  ", "x" * 300, "", " , a,b. c"]
+    tables = [model, pieces.table([("ab", 0, -1.0), ("é-a", 1, -1.0), ("a", 2, -1.0)], list(range(3, 259))), pieces.table([], list(range(256)))]
+    for some in tables:
+        want = [re.findall(some.pattern(), t) for t in texts]
+        for chars in (pieces.CUT_CHARS, 50):
+            monkeypatch.setattr(pieces, "CUT_CHARS", chars)
+            words, counts = pieces._cut(texts, pieces._kinds(some))
+            assert counts.tolist() == list(map(len, want))
+            assert words.to_pylist() == [w for found in want for w in found]
+    words, counts = pieces._cut([], pieces._kinds(model))
+    assert len(words) == 0 and len(counts) == 0
+
+
+def test_decoding_skips_what_is_no_piece_and_leaves_no_table_in_the_plan(spark, model):
+    by_piece = {p: i for p, i, _ in model.rows}
+    rows = [(0, [by_piece[" the"], None, 10**6, -1, 0]), (1, None), (2, []), (3, [model.bytes_ids[0xE6], model.bytes_ids[0x97], model.bytes_ids[0xA5]]), (4, [model.bytes_ids[0xE6], by_piece["a"]])]
+    decoded = pieces.decode(spark.createDataFrame(rows, "doc_id int, ids array<int>"))
+    assert {r.doc_id: r.decoded for r in decoded.collect()} == {0: "the", 1: None, 2: "", 3: "日", 4: "\ufffda"}
+    # the driver keeps the text of the plan for each of its changes
+    assert len(decoded._jdf.queryExecution().toString()) < 20_000

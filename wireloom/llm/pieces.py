@@ -27,17 +27,16 @@ that every text is decoded to itself.
 
 from __future__ import annotations
 
-import itertools
 import math
+import pickle
 import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import pyarrow.compute as pc
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,9 +56,9 @@ LONG = 1024
 OPENING = 4
 #: Words times positions that the recurrence holds at a time.
 CELLS = 1_000_000
+UNKNOWN_PENALTY = 10.0
 #: Ids that are decoded at a time.
 DECODED_IDS = 250_000
-UNKNOWN_PENALTY = 10.0
 
 
 class Pieces(NamedTuple):
@@ -76,12 +75,13 @@ class Pieces(NamedTuple):
         plain = some(c for c in self.inner if c.isalnum())
         joins = some(c for c in self.inner if not c.isalnum() and c not in self.breaks)
         signs = some(c for c in self.inner if not c.isalnum())
-        found = ["\x20+", f"[^\x20{some(self.inner)}]"]
+        # nothing that one of these took would be of use to the next, so nothing is given back
+        found = ["\x20++", f"[^\x20{some(self.inner)}]"]
         if signs:
-            found.insert(0, f"\x20*[{signs}]+")
+            found.insert(0, f"\x20*+[{signs}]++")
         if plain:
-            more = f"(?:[{joins}][{signs}]*[{plain}]*)*" if joins else ""
-            found.insert(0, f"\x20*{f'[{signs}]*' if signs else ''}[{plain}]+{more}")
+            more = f"(?:[{joins}][{signs}]*+[{plain}]*+)*+" if joins else ""
+            found.insert(0, f"\x20*+{f'[{signs}]*+' if signs else ''}[{plain}]++{more}")
         return "|".join(found)
 
 
@@ -237,6 +237,10 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: n
     return flat[np.repeat(starts[wanted] - ends + some, some) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _single(pieces: Pieces) -> frozenset[str]:
+    return frozenset(p for p, _, _ in pieces.rows if len(p) == 1)
+
+
 def _by_id(pieces: Pieces) -> np.ndarray:
     scores = np.full(max((i for _, i, _ in pieces.rows), default=0) + 1, -np.inf)
     for _, i, score in pieces.rows:
@@ -260,33 +264,93 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
     return asked.groupBy("bucket").cogroup(_lattice(asked, pieces).groupBy("of")).applyInArrow(listed, "word string, ids array<int>")
 
 
-def _lists(found: Iterable[str], known: set[str], buckets: int) -> dict[int, list[str]]:
-    """The words to ask for, sorted, by the bucket of their hash: not those that
-    are longer than ``LONG``, nor single characters without a piece."""
-    words = np.array(sorted(w for w in found if len(w) <= LONG and (len(w) > 1 or w in known)), dtype=object)
-    if not len(words):
+#: Characters that are cut into words at a time, unless a text is longer.
+CUT_CHARS = 1_000_000
+#: Kinds of characters: letters and digits, signs that may follow them in a word, signs that may not, spaces, the rest.
+PLAIN, JOINS, BREAKS, BLANK, ALONE = range(5)
+
+
+def _kinds(pieces: Pieces) -> np.ndarray:
+    """The kind of each code point."""
+    kinds = np.full(0x110000, ALONE, dtype=np.uint8)
+    for c in pieces.inner:
+        kinds[ord(c)] = PLAIN if c.isalnum() else BREAKS if c in pieces.breaks else JOINS
+    kinds[ord(" ")] = BLANK
+    return kinds
+
+
+def _cut(texts: list[str], kinds: np.ndarray) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """The words of all texts, as ``Pieces.pattern`` finds them, and how many each text has."""
+    parts, first, size = [], 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= CUT_CHARS or k == len(texts) - 1:
+            parts.append(_cut_part(texts[first : k + 1], kinds))
+            first, size = k + 1, 0
+    counts = [np.zeros(0, dtype=np.int64), *(c for _, c in parts)]
+    return pa.chunked_array([w for w, _ in parts], pa.large_string()), np.concatenate(counts)
+
+
+def _cut_part(texts: list[str], kinds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Where a word begins is told by a character and the one before it."""
+    whole = "".join(texts)
+    data = whole.encode()
+    kind = kinds[np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)]
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+    begins = np.zeros(len(kind) + 1, dtype=bool)
+    here, before = kind[1:], kind[:-1]
+    begins[1:-1] = (here == ALONE) | (before == ALONE) | ((here == BLANK) & (before != BLANK)) | ((here == BREAKS) & (before == PLAIN))
+    begins[0], begins[ends] = True, True  # the last one ends the last word
+    at = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(at, ends), prepend=0)
+    if len(data) > len(whole):  # from characters to bytes
+        starts = np.flatnonzero((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)
+        at = np.append(starts, len(data))[at]
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)), counts
+
+
+def _lists(words: pa.Array, known: frozenset[str], buckets: int) -> dict[int, np.ndarray]:
+    """Where in ``words``, which are distinct, those to ask for are, by the bucket of their
+    hash, in the order of the hash: not those that are longer than ``LONG``, nor single
+    characters without a piece."""
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero(sizes == 1)
+    single = words.take(pa.array(odd)).to_pylist()
+    asked = sizes <= LONG
+    asked[odd] = [w in known for w in single]
+    place = np.flatnonzero(asked)
+    if not len(place):
         return {}
-    bucket = (pd.util.hash_array(words, categorize=False) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    words, bucket = words[order], bucket[order]
+    plain = words.take(pa.array(place)).to_numpy(zero_copy_only=False)
+    hashes = pd.util.hash_array(plain, categorize=False)
+    order = np.argsort(hashes)
+    if not np.diff(hashes[order]).all():  # of equal hashes the smaller word first
+        order = np.array(sorted(range(len(plain)), key=lambda k: (hashes[k], plain[k])))
+    bucket = (hashes[order] % np.uint64(buckets)).astype(np.int64)
+    by_bucket = np.argsort(bucket, kind="stable")
+    place, bucket = place[order][by_bucket], bucket[by_bucket]
     step = (np.flatnonzero(np.diff(bucket)) + 1).tolist()
-    return {int(bucket[a]): words[a:b].tolist() for a, b in zip([0, *step], [*step, len(words)])}
+    return {int(bucket[a]): place[a:b] for a, b in zip([0, *step], [*step, len(place)])}
 
 
 def _asked(pieces: Pieces, block: str, packed: str, buckets: int):
-    pattern = pieces.pattern()
+    kinds, known = _kinds(pieces), _single(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, unpack = re.compile(pattern).findall, zstandard.ZstdDecompressor()
-        known = {p for p, _, _ in pieces.rows}
-        seen: dict[int, set[str]] = {}
+        unpack = zstandard.ZstdDecompressor()
+        seen: dict[int, pa.Array] = {}
         for batch in batches:
+            texts: dict[int, list[str]] = {}
             for b, value in zip(batch.column(block).to_pylist(), batch.column(packed)):
-                if value.is_valid:
-                    seen.setdefault(b, set()).update(find(_unpacked(unpack, value.as_py())))
+                if value.is_valid and (text := _unpacked(unpack, value.as_py())):
+                    texts.setdefault(b, []).append(text)
+            for b in list(texts):
+                words = _cut(texts.pop(b), kinds)[0].unique()
+                seen[b] = pa.chunked_array([seen[b], words]).unique() if b in seen else words
         for b in list(seen):
-            lists = _lists(seen.pop(b), known, buckets)
-            data = ["\0".join(words) for words in lists.values()]
+            words = seen.pop(b)
+            lists = _lists(words, known, buckets)
+            data = ["\0".join(words.take(pa.array(places)).to_pylist()) for places in lists.values()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b] * len(lists), pa.int64()), pa.array(list(lists), pa.int64()), pa.array(data, pa.string())], ["block", "bucket", "words"]
             )
@@ -295,7 +359,7 @@ def _asked(pieces: Pieces, block: str, packed: str, buckets: int):
 
 
 def _answered(pieces: Pieces):
-    scores = _by_id(pieces)
+    scores, pieces = _by_id(pieces), pieces._replace(rows=[])  # the lattice has the pieces
 
     def run(asked: pa.Table, edges: pa.Table) -> pa.Table:
         """The ids of the words of each list, in the order of the list: how many for
@@ -322,22 +386,28 @@ def _unpacked(unpack, packed: bytes) -> str:
 
 
 def _assembled(pieces: Pieces, packed: str, text: str, names: list[str], schema: pa.Schema, buckets: int):
-    pattern = pieces.pattern()
+    pattern, known = pieces.pattern(), _single(pieces)
+    rows = pickle.dumps(pieces.rows)  # few blocks need them
+    pieces = pieces._replace(rows=[])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         find, unpack = re.compile(pattern).findall, zstandard.ZstdDecompressor()
-        known = {p for p, _, _ in pieces.rows}
-        # words are numbered as they turn up
-        numbers: dict[str, int] = defaultdict(itertools.count().__next__)
-        texts, coded = [], []
+        texts, parts, counts = [], [], []
         for value in docs.column(packed):
-            plain = _unpacked(unpack, value.as_py()) if value.is_valid else None
-            texts.append(None if plain is None else plain[1:])
-            words = [] if plain is None else find(plain)
-            coded.append(None if plain is None else np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+            whole = _unpacked(unpack, value.as_py()) if value.is_valid else None
+            words = [] if whole is None else find(whole)
+            texts.append(None if whole is None else whole[1:])
+            parts.append(pa.array(words, pa.large_string()))
+            counts.append(len(words))
             del words
-        lists = _lists(numbers, known, buckets)
-        sizes, starts, flat, taken = np.zeros(len(numbers), dtype=np.int64), np.zeros(len(numbers), dtype=np.int64), [], 0
+        plain = pa.array(texts, pa.string())
+        del texts
+        words = pa.chunked_array(parts, pa.large_string()).dictionary_encode().combine_chunks()
+        del parts
+        coded, every = words.indices.to_numpy(), words.dictionary
+        del words
+        lists = _lists(every, known, buckets)
+        sizes, starts, flat, taken = np.zeros(len(every), dtype=np.int64), np.zeros(len(every), dtype=np.int64), [], 0
 
         def put(wanted: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
             nonlocal taken
@@ -345,31 +415,31 @@ def _assembled(pieces: Pieces, packed: str, text: str, names: list[str], schema:
             flat.append(ids)
             taken += len(ids)
 
-        for bucket, counts, ids in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "ids"))):
-            wanted = np.fromiter(map(numbers.__getitem__, lists.pop(bucket)), dtype=np.int64)
-            put(wanted, np.frombuffer(unpack.decompress(counts), dtype=np.uint16).astype(np.int64), np.frombuffer(unpack.decompress(ids), dtype=np.int32))
+        for bucket, found, ids in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "ids"))):
+            put(lists.pop(bucket), np.frombuffer(unpack.decompress(found), dtype=np.uint16).astype(np.int64), np.frombuffer(unpack.decompress(ids), dtype=np.int32))
         del lists
         scores: dict[str, tuple[int, float]] = {}
-        every = list(numbers)
         for k in np.flatnonzero(sizes == 0).tolist():  # long words, and characters without a piece
-            scores = scores or {p: (i, s) for p, i, s in pieces.rows}
-            w = every[k]
+            scores = scores or {p: (i, s) for p, i, s in pickle.loads(rows)}
+            w = every[k].as_py()
             path = viterbi(w, scores, pieces.longest, pieces.unknown)
             spelled = [[i] if i >= 0 else [pieces.bytes_ids[x] for x in w[at : at + n].encode()] for i, at, n in path]
             ids = np.array([i for p in spelled for i in p], dtype=np.int32)
             put(np.array([k]), np.array([len(ids)]), ids)
-        del numbers, every
-        ids = np.concatenate([*flat, np.zeros(0, dtype=np.int32)])
-        found = [None if c is None else _gathered(ids, starts, sizes, c) for c in coded]
+        del every
+        ids = _gathered(np.concatenate([*flat, np.zeros(0, dtype=np.int32)]), starts, sizes, coded)
+        # where each text's ids begin: after those of all words before it
+        before = np.concatenate([[0], np.cumsum(sizes[coded])])[np.concatenate([[0], np.cumsum(counts)])]
+        found = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids, pa.int32()), mask=plain.is_null())
         columns = []
         for name, field in zip(names, schema):
             if name == text:
-                columns.append(pa.array(texts, field.type))
+                columns.append(plain)
             elif field.name == schema.names[-1]:
-                columns.append(pa.array(found, field.type))
+                columns.append(found)
             else:
                 columns.append(docs.column(name).cast(field.type))
-        return pa.Table.from_arrays(columns, schema=schema)
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def tidy(docs: pa.Table, answers: pa.Table) -> pa.Table:
         try:

@@ -81,7 +81,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"),
         F.coalesce(F.size(by_byte), F.lit(0)).cast("bigint").alias("n_byte_pieces"),
-        F.sha2(F.concat_ws(" ", F.transform("ids", lambda i: i.cast("string"))).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
 
