@@ -166,3 +166,15 @@ def test_decoding_skips_what_is_no_piece_and_leaves_no_table_in_the_plan(spark,
     assert {r.doc_id: r.decoded for r in decoded.collect()} == {0: "the", 1: None, 2: "", 3: "日", 4: "\ufffda"}
     # the driver keeps the text of the plan for each of its changes
     assert len(decoded._jdf.queryExecution().toString()) < 20_000
+
+
+def test_only_pieces_of_several_characters_are_joined(spark, model):
+    """Those of single characters need no rows of the lattice."""
+    asked = spark.createDataFrame([(0, "a\0 the\0☃"), (1, "b")], "bucket bigint, words string").selectExpr("bucket", "words", "0 as block")
+    edges = pieces._lattice(asked, model).collect()
+    listed = {(0, k): w for k, w in enumerate(sorted(["a", " the", "☃"]))}
+    by_piece = {p: i for p, i, _ in model.rows}
+    want = {(of, k, at + 1, n, by_piece[w[at : at + n]]) for (of, k), w in listed.items() for at in range(len(w)) for n in range(2, len(w) - at + 1) if w[at : at + n] in by_piece}
+    assert want and {tuple(r) for r in edges} == want and len(edges) == len(want)
+    twice = pieces.Pieces([("a", 3, -2.0), ("a", 4, -1.0), ("a", 5, -3.0)], list(range(100, 356)), -20.0, 1, "", "")
+    assert pieces._single_ids(twice)[ord("a")] == 4

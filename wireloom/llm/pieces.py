@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
 The distinct words of the corpus, not its texts, are segmented. All substrings
-of a word up to the longest piece are exploded and joined to the piece table;
-the matches are the edges of the word's lattice; they are grouped with the words
+of a word from two characters up to the longest piece are exploded and joined to
+the piece table; the matches, and the pieces of single characters, are the edges of the word's lattice; they are grouped with the words
 of a bucket, and Viterbi's recurrence runs over the positions of all its words
 at once. The result is the segmentation with the highest sum of scores; of equal
 sums the one whose last differing piece is longer.
@@ -141,7 +141,7 @@ def viterbi(word: str, scores: dict[str, tuple[int, float]], longest: int, unkno
 
 
 def _lattice(asked: DataFrame, pieces: Pieces) -> DataFrame:
-    """The pieces in the distinct words of each bucket: ``of, no, start, length, id``, where
+    """The pieces of several characters in the distinct words of each bucket: ``of, no, start, length, id``, where
     ``of`` is the bucket and ``no`` counts the bucket's words in ascending order. ``asked`` has lists of words,
     dealt by bucket; nothing is dealt anew."""
     spark = asked.sparkSession
@@ -149,7 +149,7 @@ def _lattice(asked: DataFrame, pieces: Pieces) -> DataFrame:
     best: dict[str, tuple[float, int]] = {}
     for piece, i, score in pieces.rows:
         best[piece] = max(best.get(piece, (score, i)), (score, i))
-    known = spark.createDataFrame([(p, i) for p, (_, i) in best.items()], "piece string, id int")
+    known = spark.createDataFrame([(p, i) for p, (_, i) in best.items() if len(p) > 1], "piece string, id int")
     # no piece that begins with these characters is longer
     longest: dict[str, int] = {}
     for piece in best:
@@ -159,18 +159,22 @@ def _lattice(asked: DataFrame, pieces: Pieces) -> DataFrame:
     every = F.split(F.array_join(F.collect_list("words"), "\0"), "\\x00")
     # with a look at the block, so that both sides read the same deal of the lists
     lists = asked.groupBy("bucket").agg(F.sort_array(F.array_distinct(every)).alias("list"), F.min("block").alias("b")).filter("b is not null")
-    starts = lists.select("bucket", F.posexplode("list").alias("no", "word")).withColumn("start", F.explode(F.sequence(F.lit(1), F.length("word"))))
+    several = lists.select("bucket", F.posexplode("list").alias("no", "word")).filter(F.length("word") > 1)
+    starts = several.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("word") - 1)))
     starts = starts.join(F.broadcast(openings), F.expr(f"substring(word, start, {OPENING}) = opening"), "left")
     reach = F.least(F.coalesce("longest", F.lit(OPENING - 1)), F.length("word") - F.col("start") + 1)
-    spans = starts.withColumn("length", F.explode(F.sequence(F.lit(1), reach)))
+    spans = starts.withColumn("length", F.explode(F.sequence(F.lit(2), reach)))
     matched = spans.join(F.broadcast(known), F.expr("substring(word, start, length) = piece"))
     return matched.select(F.col("bucket").alias("of"), "no", "start", "length", "id")
 
 
-def _paths(words: list[str], edges: pa.Table, scores: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+def _paths(words: list[str], edges: pa.Table, scores: np.ndarray, pieces: Pieces, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """How many ids each word has, and the ids of all: Viterbi's recurrence, position
-    by position, for many words at a time. ``scores`` go by id."""
+    by position, for many words at a time. ``scores`` go by id, the ids of ``single`` by character."""
+    single = _single_ids(pieces) if single is None else single
+    alone = single[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    opens = np.cumsum(sizes) - sizes
     by_size = np.argsort(sizes, kind="stable")
     place = np.empty_like(by_size)
     place[by_size] = np.arange(len(words))
@@ -203,7 +207,9 @@ def _paths(words: list[str], edges: pa.Table, scores: np.ndarray, pieces: Pieces
         back = np.ones((widest + 1, rows), dtype=np.int32)
         piece = np.full((widest + 1, rows), -1, dtype=np.int32)
         for e in range(1, widest + 1):
-            best[e] = best[e - 1] + pieces.unknown
+            # what stands behind a word's end is never looked at
+            ones = alone[np.minimum(opens[by_size[first:last]] + e - 1, len(alone) - 1)]
+            piece[e], best[e] = ones, best[e - 1] + np.where(ones >= 0, scores[ones], pieces.unknown)
             for a, b in groups.get((k, e), []):  # shorter pieces first
                 n, w = int(length[a]), where[a:b] - first
                 sums = best[e - n][w] + scores[ids[a:b]]
@@ -241,6 +247,14 @@ def _single(pieces: Pieces) -> frozenset[str]:
     return frozenset(p for p, _, _ in pieces.rows if len(p) == 1)
 
 
+def _single_ids(pieces: Pieces) -> np.ndarray:
+    """The id of the piece of each code point, or -1; of two the one with the higher score."""
+    ids = np.full(0x110000, -1, dtype=np.int32)
+    for _, i, piece in sorted((s, i, p) for p, i, s in pieces.rows if len(p) == 1):
+        ids[ord(piece)] = i
+    return ids
+
+
 def _by_id(pieces: Pieces) -> np.ndarray:
     scores = np.full(max((i for _, i, _ in pieces.rows), default=0) + 1, -np.inf)
     for _, i, score in pieces.rows:
@@ -253,11 +267,11 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
     total = words.agg(F.sum(F.length("word"))).first()[0] or 0
     buckets = max(1, math.ceil(total / WORD_CHARS))
     asked = words.select(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket"), F.col("word").alias("words"), F.lit(0).alias("block")).repartition(buckets, "bucket")
-    scores = _by_id(pieces)
+    scores, single = _by_id(pieces), _single_ids(pieces)
 
     def listed(asked: pa.Table, edges: pa.Table) -> pa.Table:
         words = sorted(asked.column("words").to_pylist())
-        sizes, flat = _paths(words, edges, scores, pieces)
+        sizes, flat = _paths(words, edges, scores, pieces, single)
         ids = pa.ListArray.from_arrays(pa.array([0, *np.cumsum(sizes).tolist()], pa.int32()), pa.array(flat, pa.int32()))
         return pa.table({"word": pa.array(words, pa.string()), "ids": ids})
 
@@ -359,7 +373,7 @@ def _asked(pieces: Pieces, block: str, packed: str, buckets: int):
 
 
 def _answered(pieces: Pieces):
-    scores, pieces = _by_id(pieces), pieces._replace(rows=[])  # the lattice has the pieces
+    scores, single, pieces = _by_id(pieces), _single_ids(pieces), pieces._replace(rows=[])  # the lattice has the others
 
     def run(asked: pa.Table, edges: pa.Table) -> pa.Table:
         """The ids of the words of each list, in the order of the list: how many for
@@ -368,7 +382,7 @@ def _answered(pieces: Pieces):
         lists = [words.split("\0") for words in asked.column("words").to_pylist()]
         words = sorted(set().union(*lists))
         numbers = dict(zip(words, range(len(words))))
-        counts, flat = _paths(words, edges, scores, pieces)
+        counts, flat = _paths(words, edges, scores, pieces, single)
         starts = np.cumsum(counts) - counts
         sizes, ids = [], []
         for words in lists:
