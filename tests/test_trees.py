@@ -1,8 +1,9 @@
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from wireloom.operators import models, trees
+from wireloom.operators import boosting, models, trees
 
 COLUMNS = ["a", "b", "c"]
 
@@ -79,6 +80,52 @@ def test_the_grid_by_prefixes_scores_as_single_fits(rows, vectors):
     assert found[tuned.best["rounds"], tuned.best["step"]] == best and tuned.bestModel.getNumTrees == tuned.best["rounds"]
 
 
+@pytest.mark.parametrize("depth, rounds", [(1, 3), (3, 8), (6, 4)])
+def test_boosters_of_one_task_are_mllibs(rows, depth, rounds):
+    """Few and many values, a constant, two features that always tie, and rows that are alike."""
+    more = rows.withColumns({"d": F.col("c") * 2, "e": F.lit(7.0), "f": F.log(F.col("id") + 2)})
+    columns = [*COLUMNS, "d", "e", "f"]
+    vectors = models.assemble(more.unionByName(more.filter("id < 50")), columns).withColumn("fold", F.lit(0))
+    booster = GBTClassifier(labelCol="Label", featuresCol=models.VECTOR, seed=models.SEED, maxDepth=depth, stepSize=0.2, maxIter=rounds)
+    theirs, ours = booster.fit(vectors), boosting.fit(boosting.pack(vectors, "Label", models.VECTOR, "fold"), booster, len(columns))
+    assert (ours.getNumTrees, ours.getMaxIter(), ours.numFeatures) == (rounds, rounds, len(columns))
+    assert list(ours.treeWeights) == list(theirs.treeWeights)
+    assert [t.numNodes for t in ours.trees] == [t.numNodes for t in theirs.trees]
+    a = theirs.transform(vectors).select("id", vector_to_array("rawPrediction")[1].alias("a"))
+    b = ours.transform(vectors).select("id", vector_to_array("rawPrediction")[1].alias("b"))
+    assert a.join(b, "id").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-12
+    assert list(ours.featureImportances.toArray()) == pytest.approx(list(theirs.featureImportances.toArray()))
+
+
+def test_the_grid_takes_no_job_for_each_tree(spark, vectors):
+    sc = spark.sparkContext
+    sc.setJobGroup("grid", "grid")
+    try:
+        tuned = models.tune_boosted_trees(vectors, "id", depths=(2,), rounds=(10, 20), steps=(0.1,))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("grid")) < 80  # 4 boosters of 20 trees of 2 levels
+    assert tuned.scores.count() == 2 and tuned.bestModel.getNumTrees == tuned.best["rounds"]
+
+
+def test_the_grid_is_the_same_where_rows_exceed_a_task(vectors, monkeypatch):
+    grid = {"depths": (2, 3), "rounds": (2, 4), "steps": (0.2,), "folds": 2}
+    own = models.tune_boosted_trees(vectors, "id", **grid)
+    monkeypatch.setattr(boosting, "MAX_CELLS", 1)
+    other = models.tune_boosted_trees(vectors, "id", **grid)
+    assert sorted(own.counts.collect()) == sorted(other.counts.collect()) and own.best == other.best
+    means = {tuple(r)[:3]: r.macro_f1 for r in other.scores.collect()}
+    assert {tuple(r)[:3]: r.macro_f1 for r in own.scores.collect()} == pytest.approx(means)
+
+
+def test_boosters_refuse_what_mllib_refuses(rows):
+    odd = models.assemble(rows.withColumn("c", F.expr("if(id = 3, double('Infinity'), c)")), COLUMNS)
+    with pytest.raises(Exception, match="finite"):
+        models.tune_boosted_trees(odd, "id", depths=(2,), rounds=(1,), steps=(0.1,))
+    with pytest.raises(Exception, match="0 or 1"):
+        models.tune_boosted_trees(models.assemble(rows.withColumn("Label", F.lit(2)), COLUMNS), "id", depths=(2,), rounds=(1,), steps=(0.1,))
+
+
 def test_sessions_that_observe_can_score(spark, rows, fitted):
     """Model objects can't be sent to tasks once a session has observed anything; expressions can."""
     ready = {k: trees.compiled(m) for k, m in fitted.items()}
