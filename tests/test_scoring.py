@@ -1,5 +1,6 @@
 import inspect
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -121,6 +122,39 @@ def test_cleaning(spark):
         prep.binary_label(spark.range(1))
 
 
+def test_cleaning_works_every_source_row_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return None if x % 10 == 0 else float(x % 4)
+
+    raw = spark.range(50).select(F.udf(count, "double")("id").alias(" a"), F.col("id").alias("b"), F.lit("x").alias("Label"))
+    assert prep.clean_training(raw).count() == 50
+    assert seen.value == 50
+
+
+def test_models_are_trained_side_by_side(spark, monkeypatch):
+    from wireloom.operators import models
+    from wireloom.plans import training
+
+    meet = threading.Barrier(3, timeout=60)
+
+    def stub(name):
+        def fit(vectors, **options):
+            meet.wait()  # fails if one waits for the end of another
+            return name, vectors.count(), options
+
+        return fit
+
+    names = {"dt": "train_decision_tree", "rf": "train_random_forest", "gbt": "train_boosted_trees"}
+    for name, function in names.items():
+        monkeypatch.setattr(models, function, stub(name))
+    raw = spark.range(40).selectExpr("double(id) ` Destination Port`", "double(id * 2) `Flow Duration`", "if(id % 2 = 0, 'BENIGN', 'x') Label")
+    got = training.train(raw, trees=7, rounds=9, forest_depth=3).detector.models
+    assert got == {"dt": ("dt", 30, {}), "rf": ("rf", 30, {"trees": 7, "depth": 3}), "gbt": ("gbt", 30, {"rounds": 9})}
+
+
 def test_scaler_uses_the_population_deviation(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0), (4.0, 5.0)], "x double, c double")
     scaler = prep.fit_scaler(df, ["x", "c"])
